@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.nested import boundary_nodes, grid_cells
 from tabloom.operators.packed import split_packed
 from tabloom.operators.references import find_orphans
+from tabloom.operators.units import assign_units, common_values
 from tabloom.runtime import reference_rows, table
 
 
@@ -63,8 +64,25 @@ def p4_rules(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("table_id", "pos1", "source").agg(F.countDistinct("pos2", "source_index").alias("n_rules"))
 
 
+def _p6_assigned(spark: SparkSession, d: str) -> DataFrame:
+    names = ("def_variable", "ext_cell", "canon_label", "unit_ref")
+    return assign_units(*(table(spark, d, n) for n in names))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    uncommon = F.broadcast(table(spark, d, "unit_ref").where("not is_common").select("unit_id"))
+    recorded = _p6_assigned(spark, d).where(F.col("source").isin("recorded", "conflict"))
+    return recorded.join(uncommon, "unit_id", "left_semi").select("variable_id", "unit_id").distinct()
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every measured variable's unit, how it was told and its middle value in the common unit."""
+    values = common_values(_p6_assigned(spark, d), table(spark, d, "unit_ref"))
+    return values.select("variable_id", "quantity", "unit_id", "source", F.round("probability", 6).alias("probability"), "common_value")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules)
+    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules, p6_found, p6_values)
 }
 
 _P1 = """
