@@ -11,10 +11,26 @@ from tabloom.llm.canonical_text import canonical_text
 from tabloom.llm.components import connected_groups
 from tabloom.llm.encoding import restore_encoding
 from tabloom.llm.leakage import find_leaks
+from tabloom.llm.linking import link_values
 from tabloom.llm.packing import CAPACITY, pack
 from tabloom.runtime import table
 
 
+def _p2_links(spark: SparkSession, d: str) -> DataFrame:
+    variables = table(spark, d, "def_variable").select(F.lit("variable").alias("record_kind"), F.col("variable_id").alias("record_id"), F.col("variable_label").alias("label"))
+    levels = table(spark, d, "def_level").select(F.lit("level").alias("record_kind"), F.col("level_id").alias("record_id"), F.col("level_label").alias("label"))
+    return link_values(variables.unionByName(levels), "record_kind", "label", table(spark, d, "canon_label"), ("record_kind", "record_id"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_links(spark, d).select("record_kind", "record_id", "canon_id").distinct()
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values without an entry, as typed, with their rows and nearest score."""
+    return _p2_links(spark, d).where("canon_id = 0").groupBy("record_kind", "value").agg(F.count("*").alias("n_rows"), F.round(F.max("score"), 6).alias("score"))
+
+
 def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "ext_cell").select(F.lit("cell").alias("record_kind"), "table_id", "row_idx", "col_idx", "text")
     levels = table(spark, d, "def_level").select(F.lit("level").alias("record_kind"), "table_id", "row_idx", F.lit(-1).alias("col_idx"), F.col("level_label").alias("text"))
@@ -67,7 +83,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_merged_texts, p7_found, p7_group_sizes, p8_found, p8_assignment, p9_found, p9_leaked_items, p10_found, p10_restored)
+    f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_merged_texts, p7_found, p7_group_sizes, p8_found, p8_assignment, p9_found, p9_leaked_items, p10_found, p10_restored)
 }
 
 _P7 = """
