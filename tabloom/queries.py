@@ -11,6 +11,7 @@ from tabloom.operators.nested import boundary_nodes, grid_cells
 from tabloom.operators.packed import split_packed
 from tabloom.operators.references import find_orphans
 from tabloom.operators.units import assign_units, common_values
+from tabloom.plans import grid_queries
 from tabloom.runtime import reference_rows, table
 
 
@@ -111,3 +112,7 @@ select distinct table_id, cast(pos1 as integer) as pos1, cast(pos2 as integer) a
   line[pos2 + 1].x0 as x0, line[pos2 + 1].y0 as y0, line[pos2 + 1].x1 as x1, line[pos2 + 1].y1 as y1
 from c where line[pos2 + 1] is not null""",
 }
+
+for _module in (grid_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
