@@ -12,7 +12,7 @@ class CalibratedForest:
         self.trees, self.classes, self.temperature = trees, classes, temperature
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ids: np.ndarray, n_trees: int = 30, depth: int = 10, least: int = 3, held_out: int = 5) -> CalibratedForest:
+    def fit(cls, x: np.ndarray, y: np.ndarray, ids: np.ndarray, n_trees: int = 24, depth: int = 6, least: int = 3, held_out: int = 5) -> CalibratedForest:
         """Rows whose id is divisible by ``held_out`` only calibrate. The same rows give the same forest."""
         x = np.nan_to_num(x)
         classes = np.unique(y)
@@ -43,7 +43,7 @@ class CalibratedForest:
             low, high = x[:, f].min(), x[:, f].max()
             if low == high:
                 continue
-            for cut in rng.uniform(low, high, 4):
+            for cut in rng.uniform(low, high, 2):
                 left = x[:, f] <= cut
                 n = left.sum()
                 if n < least or len(y) - n < least:

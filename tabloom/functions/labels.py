@@ -55,10 +55,16 @@ def unit_tails(label: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-@lru_cache(maxsize=200_000)
-def variants(label: str, unit_like=None) -> tuple[tuple[str, ...], ...]:
-    """Word lists under which a label may name its entry: whole, step by step stripped, and without what its end says of a unit."""
-    texts = [bare(t) for t in stages(label)]
+def variants(label: str, unit_like=None) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """Word lists under which a label may name its entry: all of them, the fullest first, and those worth a search.
+
+    All: whole, step by step stripped, and without what its end says of a unit. A search needs the stripped ones only,
+    without the unit if there is one.
+    """
+    lists = [words(bare(t)) for t in stages(label)]
+    search = lists[1:]
     if unit_like is not None:
-        texts += [bare(t) for name, tail in unit_tails(label) if unit_like(tail) for t in stages(name)]
-    return tuple(dict.fromkeys(tuple(words(t)) for t in texts if t))
+        named = [[words(bare(t)) for t in stages(name)] for name, tail in unit_tails(label) if unit_like(tail)]
+        lists += [w for group in named for w in group]
+        search = [w for group in named for w in group[1:]] or search
+    return [tuple(w) for w in lists if w], list(dict.fromkeys(tuple(w) for w in search if w))

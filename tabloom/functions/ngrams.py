@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,38 +15,48 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+\.?", text)
 
 
+@lru_cache(maxsize=300_000)
 def edit_similarity(a: str, b: str) -> float:
-    """1 less the share of letters to change, put in, leave out or swap with a neighbour."""
+    """1 less the share of letters to change, put in, leave out or swap with a neighbour; one column of the table is one integer."""
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if not n or not m or 2 * min(n, m) < max(n, m):
-        return min(n, m) / max(n, m, 1) * 0.5
-    before, row = None, list(range(m + 1))
-    for i in range(1, n + 1):
-        new = [i]
-        for j in range(1, m + 1):
-            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a[i - 1] != b[j - 1]))
-            if before and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, before[j - 2] + 1)
-            new.append(cost)
-        before, row = row, new
-    return 1 - row[m] / max(n, m)
+    longest = max(n, m)
+    if not n or not m or 2 * min(n, m) < longest:
+        return min(n, m) / max(longest, 1) * 0.5
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, diagonal, before, distance = full, 0, 0, 0, n
+    for c in b:
+        here = places.get(c, 0)
+        swapped = (((~diagonal & full) & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swapped) & full
+        right, left = down | (~(diagonal | up) & full), diagonal & up
+        distance += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down = left | (~(diagonal | right) & full), right & diagonal
+        before = here
+    return 1 - distance / longest
 
 
 def aligned_similarity(left: Sequence[str], right: Sequence[str]) -> float:
-    """Edit similarity of two names: words paired best first in any order, or the names without blanks."""
+    """Edit similarity of two names: words paired best first in any order, or the names without blanks if that is more."""
     a, b = [w.rstrip(".") for w in left], [w.rstrip(".") for w in right]
-    whole = edit_similarity("".join(a), "".join(b))
+    if len(a) == len(b) == 1:
+        return edit_similarity(a[0], b[0])
     pairs = sorted(((edit_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     used_a, used_b, total = set(), set(), 0.0
     for sim, i, j in pairs:
-        if sim >= 0.5 and i not in used_a and j not in used_b:
+        if sim < 0.5:
+            break
+        if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
             total += sim * max(len(a[i]), len(b[j]))
-    longest = max(sum(len(x) for x in a), sum(len(y) for y in b), 1)
-    return max(whole, min(1.0, total / longest))
+    paired = min(1.0, total / max(sum(map(len, a)), sum(map(len, b)), 1))
+    return paired if paired > 0.85 else max(paired, edit_similarity("".join(a), "".join(b)))
 
 
 def grams(parts: Sequence[str]) -> Counter[str]:
@@ -75,30 +86,33 @@ class NgramIndex:
         self.size = max(1, len(entries))
         self.weight = {g: math.log(1 + self.size / n) for g, n in spread.items()}
         self.unseen = math.log(1 + self.size / 0.5)
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        norms = np.zeros(len(entries))
+        self.row = {g: k for k, g in enumerate(self.weight)}
+        self.matrix = np.zeros((len(self.row) + 1, max(1, len(entries))), dtype=np.float32)
         for e, c in enumerate(counts):
             for g, n in c.items():
-                w = math.sqrt(n) * self.weight[g]
-                postings[g].append((e, w))
-                norms[e] += w * w
-        self.norm = np.sqrt(np.maximum(norms, 1e-12))
-        self.postings = {g: (np.array([e for e, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
+                self.matrix[self.row[g], e] = math.sqrt(n) * self.weight[g]
+        self.matrix /= np.maximum(np.linalg.norm(self.matrix, axis=0), 1e-12)
+        self.begins: dict[str, set[int]] = defaultdict(set)
+        for e, w in enumerate(self.words):
+            for word in w:
+                for k in range(1, len(word) + 1):
+                    self.begins[word[:k]].add(e)
         self.exact = {}
         for e, w in enumerate(self.words):
-            self.exact.setdefault(" ".join(sorted(w)), e)
+            self.exact.setdefault(tuple(sorted(w)), e)
 
     def cosines(self, parts: Sequence[str]) -> np.ndarray:
         """Weighted cosine of the words with every entry."""
-        scores = np.zeros(len(self.ids))
-        own = 0.0
+        rows, weights, own = [], [], 0.0
         for g, n in grams(parts).items():
             w = math.sqrt(n) * self.weight.get(g, self.unseen)
             own += w * w
-            if g in self.postings:
-                at, weights = self.postings[g]
-                scores[at] += w * weights
-        return scores / (self.norm * math.sqrt(max(own, 1e-12)))
+            if g in self.row:
+                rows.append(self.row[g])
+                weights.append(w)
+        if not rows:
+            return np.zeros(len(self.ids), dtype=np.float32)
+        return np.asarray(weights, dtype=np.float32) @ self.matrix[rows] / math.sqrt(own)
 
     def _expanded(self, parts: Sequence[str], entry: int) -> list[str]:
         """The words with those cut short by a dot completed from the entry's words, each used once, in order."""
@@ -115,23 +129,26 @@ class NgramIndex:
             out.append(full or p)
         return out
 
-    def best(self, variants: Sequence[Sequence[str]], candidates: int = 6) -> tuple[int, float, float]:
-        """(id, score, margin) of one value given as variants, the fullest first; id 0 if there is no candidate.
+    def best(self, names: Sequence[Sequence[str]], search: Sequence[Sequence[str]], candidates: int = 5) -> tuple[int, float, float]:
+        """(id, score, margin) of one value; id 0 if there is no candidate. ``names`` may be listed as they are, the fullest first.
 
-        The candidates of highest cosine are scored by cosine and edit similarity; a fuller variant counts a little more.
+        Else the candidates of highest cosine are scored by cosine and edit similarity; a fuller variant counts a little more.
         """
         if not len(self.ids):
             return 0, 0.0, 0.0
+        for order, parts in enumerate(names):  # a name as it is listed needs no search
+            e = self.exact.get(tuple(sorted(parts)))
+            if e is not None:
+                return int(self.ids[e]), 1.0 - 0.01 * order, 1.0
         kept: dict[int, float] = {}
-        for order, parts in enumerate(variants):
-            if not parts:
-                continue
+        for order, parts in enumerate(search):
             cut = any(p.endswith(".") for p in parts)
             scores = self.cosines(parts)
-            near = [int(e) for e in np.argsort(-scores)[:candidates] if scores[e] > 0]
+            near = [int(e) for e in np.argsort(-scores)[:candidates] if scores[e] > 0.1]
             if cut:
                 stems = [p[:-1] for p in parts if p.endswith(".") and len(p) > 1]
-                near += [e for e in range(len(self.ids)) if e not in near and sum(any(w.startswith(x) for w in self.words[e]) for x in stems) * 2 > len(stems)]
+                hits = Counter(e for x in stems for e in self.begins.get(x, ()))
+                near += [e for e, n in hits.items() if 2 * n > len(stems) and e not in near]
             for e in near:
                 full, worth = list(parts), scores[e]
                 if cut:

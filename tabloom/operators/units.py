@@ -25,7 +25,7 @@ from tabloom.functions.ngrams import NgramIndex
 from tabloom.runtime import checkpoint, reference_rows
 
 #: Least score of a label's entry, labelled variables the forest is trained on, and the probability at which it decides.
-THRESHOLD, MARGIN, TRAINING_ROWS, CONFIDENT = 0.60, 0.004, 50_000, 0.9
+THRESHOLD, MARGIN, TRAINING_ROWS, CONFIDENT = 0.60, 0.004, 10_000, 0.9
 _NUMBER = re.compile(r"[<>≤≥]?\s*(-?\d[\d,]*(?:\.\d+)?|\.\d+)")
 
 
@@ -75,7 +75,7 @@ def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, uni
                 if not label or not label.strip():
                     continue
                 if label not in known:
-                    entry, score, lead = index.best(variants(label, U.is_unit))
+                    entry, score, lead = index.best(*variants(label, U.is_unit))
                     known[label] = entry if score >= THRESHOLD and lead >= MARGIN else 0
                 of = quantity.get(known[label])
                 if of is not None and of in units:
@@ -87,8 +87,10 @@ def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, uni
                 names=["variable_id", "table_id", "row_start", "style", "canon_id", "quantity", "hint_unit", "label_unit"],
             )
 
-    narrow = variables.select("variable_id", "table_id", "variable_label", "units_hint", "row_start", F.col("summary_style_hint").alias("style")).distinct()
-    measured = narrow.mapInArrow(labels, "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, hint_unit int, label_unit int")
+    # by label, so that each is looked up in one task; that also serves the removal of copies
+    tasks = int(variables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = variables.select("variable_id", "table_id", "variable_label", "units_hint", "row_start", F.col("summary_style_hint").alias("style")).repartition(tasks, "variable_label").distinct()
+    measured = checkpoint(narrow.mapInArrow(labels, "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, hint_unit int, label_unit int"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +112,10 @@ def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, uni
         .mapInArrow(read, "variable_id long, extractor string, col_idx int, value double, spread double, unit int")
     )
     # several values of a variable: the unit most of them print, the middle magnitude
-    said = read_cells.where("unit is not null").groupBy("variable_id", "unit").count().groupBy("variable_id").agg(F.max_by("unit", F.struct("count", -F.col("unit"))).alias("cell_unit"))
-    size = read_cells.where("value is not null").groupBy("variable_id").agg(F.percentile_approx("value", 0.5).alias("magnitude"), F.percentile_approx("spread", 0.5).alias("spread"), F.min("extractor").alias("extractor"))
-    return measured.join(said, "variable_id", "left").join(size, "variable_id", "left").drop("row_start")
+    told = read_cells.groupBy("variable_id").agg(
+        F.mode("unit", True).alias("cell_unit"), F.percentile_approx("value", 0.5).alias("magnitude"), F.percentile_approx("spread", 0.5).alias("spread"), F.min("extractor").alias("extractor")
+    )
+    return measured.join(told, "variable_id", "left").drop("row_start")
 
 
 def _features(df: DataFrame, unit_ref: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def assign_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_
     fitted on at most ``training_rows`` variables with one plain unit, drawn by a hash of their id; it is applied to all.
     Variables without magnitude or quantity model can't be predicted. Null labels and labels without quantity give no row.
     """
-    rows = checkpoint(_features(recorded_units(variables, cells, canon, unit_ref), unit_ref))
+    rows = checkpoint(_features(checkpoint(recorded_units(variables, cells, canon, unit_ref)), unit_ref))
     plain = F.coalesce("hint_unit", "label_unit", "cell_unit")
     agreed = plain.isNotNull() & (F.coalesce("hint_unit", plain) == plain) & (F.coalesce("label_unit", plain) == plain) & (F.coalesce("cell_unit", plain) == plain)
     labelled = rows.where(agreed & F.col("magnitude").isNotNull())
