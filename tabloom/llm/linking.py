@@ -1,6 +1,6 @@
 """Freely typed values mapped to a canonical list.
 
-Values are deduplicated per batch and per task, normalised to name variants, looked up in a character n-gram
+Values are brought together by value and deduplicated, normalised to name variants, looked up in a character n-gram
 inverted index, scored by weighted cosine and edit similarity, and accepted above a threshold and a margin.
 """
 
@@ -47,7 +47,7 @@ def link_values(df: DataFrame, kind_col: str, value_col: str, canon: DataFrame,
                 k, _, v = text.partition("\x00")
                 got = known.get((k, v))
                 if got is None:
-                    got = index[k].best(variants(v, is_unit if k in WITH_UNITS else None)) if k in index and v.strip() else (0, 0.0, 0.0)
+                    got = index[k].best(*variants(v, is_unit if k in WITH_UNITS else None)) if k in index and v.strip() else (0, 0.0, 0.0)
                     if len(known) < REMEMBERED:
                         known[k, v] = got
                 found.append(got)
@@ -57,4 +57,7 @@ def link_values(df: DataFrame, kind_col: str, value_col: str, canon: DataFrame,
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), kind, value, ids, scores, leads], names=[*keep, "kind", "value", "canon_id", "score", "margin"])
 
     schema = ", ".join([*(f"`{k}` {t.simpleString()}" for k, t in kinds), "kind string, value string, canon_id int, score double, margin double"])
-    return df.select(*[F.col(k) for k in keep], F.col(kind_col).alias("link_kind"), F.col(value_col).alias("link_value")).mapInArrow(run, schema)
+    narrow = df.select(*[F.col(k) for k in keep], F.col(kind_col).alias("link_kind"), F.col(value_col).alias("link_value"))
+    # by value, so that each is looked up in one task; a value that many rows share costs its task no more than passing them on
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return narrow.repartition(tasks, "link_kind", "link_value").mapInArrow(run, schema)
