@@ -76,7 +76,7 @@ class Transducer:
         marks = "".join(sorted({c[1] for c in self.mapping if len(c) == 2}))
         # A designation at the start of a word stands; a word written wholly in a look-alike's own script stands, too.
         self._pattern = re.compile(
-            rf"(?<![^\W\d_])[{DESIGNATIONS}](?=[-‐‑－][^\W\d_])|(?<![^\W\d_])(?P<own>[Ѐ-ӿ]{{2,}}|[Ͱ-Ͽ]{{2,}})(?![^\W\d_])"
+            rf"(?P<meant>(?<![^\W\d_])[{DESIGNATIONS}](?=[-‐‑－][^\W\d_]))|(?<![^\W\d_])(?P<own>[Ѐ-ӿ]{{2,}}|[Ͱ-Ͽ]{{2,}})(?![^\W\d_])"
             rf"|[{re.escape(''.join(pairs))}][{marks}]|[{re.escape(singles)}]"
         )
         self._alike = frozenset(LOOKALIKES)
@@ -85,6 +85,8 @@ class Transducer:
 
     def _one(self, match: re.Match[str]) -> str:
         text = match.group()
+        if match.lastgroup == "meant":
+            return text
         if match.lastgroup == "own":  # look-alikes only: a Latin word in disguise; else a word of that script
             return "".join(self.mapping[c] for c in text) if all(c in self._alike for c in text) else text
         return self.mapping.get(text, text)

@@ -2,7 +2,8 @@
 
 Each partition of edges is reduced to a spanning forest by union-find; forests are merged through partitions of
 bounded size. Where they don't fit one partition, every record that partitions gave different roots passes its
-smallest root to the others, and the forests are reduced again until each record has one root that is no record's child.
+smallest root to the others, roots that are children take their own root, and the forests are reduced again until
+each record has one root that is no record's child.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tabloom.runtime import checkpoint
 
-#: Edges that one task may hold.
-EDGES_PER_TASK = 2_000_000
+#: Edges that one task may hold, and keys over which a shared root is spread.
+EDGES_PER_TASK, SALT = 2_000_000, 16
 
 
 def union_find(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
@@ -58,6 +59,15 @@ def _passed_on(stars: DataFrame) -> DataFrame:
     return least.select("node", "root", "several").unionByName(others)
 
 
+def _jumped(stars: DataFrame) -> DataFrame:
+    """Stars whose root is another's node take that one's root. A root that many share is spread over SALT keys."""
+    salts = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALT)]))
+    up = stars.groupBy("node").agg(F.min("root").alias("higher")).withColumnRenamed("node", "root")
+    up = up.join(stars.select("root").distinct(), "root", "left_semi").withColumn("salt", salts)
+    own = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)))
+    return own.join(up, ["root", "salt"], "left").select("node", F.coalesce("higher", "root").alias("root"), (F.col("several") | F.col("higher").isNotNull()).alias("several"))
+
+
 def connected_groups(pairs: DataFrame, left_col: str, right_col: str, edges_per_task: int = EDGES_PER_TASK, max_rounds: int = 60) -> DataFrame:
     """One row per linked record: ``record``, ``group_id``, the smallest record of its group in byte order.
 
@@ -80,9 +90,9 @@ def connected_groups(pairs: DataFrame, left_col: str, right_col: str, edges_per_
             heavy = stars.groupBy("root").count().where(F.col("count") > edges_per_task).withColumnRenamed("count", "edges")
             salted = stars.join(heavy, "root", "left").withColumn("salt", F.when(F.col("edges").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("edges") / edges_per_task) + 1)))
             spread = salted.repartition(tasks, "root", "salt").select("node", "root")
-        stars = checkpoint(_passed_on(spread.mapInPandas(_forest, schema)).groupBy("node", "root").agg(F.max("several").alias("several")))
-        children = stars.select(F.col("node").alias("root")).distinct()
-        if not stars.where("several").head(1) and not stars.join(children, "root", "left_semi").head(1):
+        merged = checkpoint(_passed_on(spread.mapInPandas(_forest, schema)).groupBy("node", "root").agg(F.max("several").alias("several")))
+        stars = checkpoint(_jumped(merged).groupBy("node", "root").agg(F.max("several").alias("several")))
+        if not stars.where("several").head(1):
             forest = stars.select("node", "root")
             break
         stars = stars.select("node", "root")

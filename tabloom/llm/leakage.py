@@ -43,7 +43,8 @@ def plain(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     # a text's first byte stands for the space that leads it; the caller puts a spare space before each text
     kept = np.flatnonzero(folded)
     values = folded[kept]
-    double = np.concatenate(([False], (values[1:] == 32) & (values[:-1] == 32)))
+    double = np.zeros(len(values), dtype=bool)
+    double[1:] = (values[1:] == 32) & (values[:-1] == 32)
     starts = np.searchsorted(kept, offsets[:-1])
     double[starts[starts < len(double)]] = False
     kept, values = kept[~double], values[~double]
