@@ -8,7 +8,7 @@ from functools import lru_cache
 from tabloom.functions.fold import bare, fold
 from tabloom.functions.ngrams import edit_similarity, words
 
-_NOTE = re.compile(r"[*†‡§¶#]+|(?<=[^\W_])\s+[a-c](?:\s*,\s*[a-c])*(?=\s*(?:$|[,(\[–:]))")
+_NOTE = re.compile(r"[*†‡§¶#]+|(?<=[^\W_]|[)%.\]])\s+[a-c](?:\s*,\s*[a-c])*(?=\s*(?:$|[,(\[–:]))")
 _STATISTIC = re.compile(
     r"[\s,–:-]*(?:\b(?:n|no\.?)\s*\(\s*%\s*\)|\b(?:mean|median)\b\s*(?:\(\s*(?:sd|iqr|se)\s*\)|±\s*s[de])?|\(\s*(?:yes|no|%)\s*\)|,\s*(?:yes|no\.?|n)|\bn)\s*$", re.I
 )
@@ -26,6 +26,22 @@ def _without(text: str, *patterns: re.Pattern[str]) -> str:
         text = new
 
 
+# Qualifiers that may be misspelt, at the end and at the beginning.
+_LAST, _FIRST = ("patients", "group", "overall", "baseline"), ("reported", "self-reported", "baseline", "patient", "participants'")
+
+
+def _without_misspelt(text: str) -> str:
+    """A name of several words without a misspelt qualifier at either end."""
+    parts = text.split()
+    if len(parts) > 1 and max(edit_similarity(parts[-1].lower(), q) for q in _LAST) >= 0.7:
+        parts = parts[:-1]
+        while len(parts) > 1 and parts[-1].lower() in ("at", "–", "-"):
+            parts = parts[:-1]
+    if len(parts) > 1 and max(edit_similarity(parts[0].lower(), q) for q in _FIRST) >= 0.75:
+        parts = parts[1:]
+    return " ".join(parts).rstrip(":,–- ")
+
+
 @lru_cache(maxsize=200_000)
 def stages(label: str) -> tuple[str, str, str]:
     """The label in folded form, without note marks and statistics, and without qualifiers as well."""
@@ -34,10 +50,8 @@ def stages(label: str) -> tuple[str, str, str]:
         whole = whole[1:-1].strip()
     named = _without(whole, _NOTE, _STATISTIC)
     short = _without(named, _NOTE, _STATISTIC, _QUALIFIER)
-    head, _, last = short.rpartition(" ")
-    if head and edit_similarity(last.lower(), "patients") >= 0.7:
-        short = head
-    return whole, named, _PREFIX.sub("", _PREFIX.sub("", short)) or short
+    short = _PREFIX.sub("", _PREFIX.sub("", short)) or short
+    return whole, named, _without_misspelt(short)
 
 
 def stripped(label: str) -> str:

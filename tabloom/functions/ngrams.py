@@ -155,7 +155,9 @@ class NgramIndex:
                     full = self._expanded(parts, e)
                     worth = self.cosines(full)[e] * (1.0 if full == list(parts) else 0.98)
                 alike = aligned_similarity(full, self.words[e])
-                score = max(0.5 * worth + 0.5 * alike, alike - 0.17) - 0.01 * order
+                # a single word has few grams, and one typed wrong loses most of them
+                single = len(full) == len(self.words[e]) == 1
+                score = max(0.5 * worth + 0.5 * alike, alike - (0.06 if single else 0.17)) - 0.01 * order
                 kept[e] = max(kept.get(e, 0.0), float(score))
         if not kept:
             return 0, 0.0, 0.0
