@@ -27,14 +27,21 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, SPACE + "+", " "))
 
 
+def _without_entities(text: Column) -> Column:
+    # cleaning only ever turns one character that is no letter or digit into others, but for entities
+    for entity in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(" "))
+    return text
+
+
 def label_text(text: Column) -> Column:
-    """Letters and digits of a label, ASCII, single spaces."""
-    return F.trim(F.regexp_replace(clean_text(text), "[^A-Za-z0-9]+", " "))
+    """Letters and digits of a label once cleaned, ASCII, single spaces."""
+    return F.trim(F.regexp_replace(_without_entities(text), "[^A-Za-z0-9]+", " "))
 
 
 def alpha_text(text: Column) -> Column:
-    """Letters of a label, ASCII, single spaces."""
-    return F.trim(F.regexp_replace(clean_text(text), "[^A-Za-z]+", " "))
+    """Letters of a label once cleaned, ASCII, single spaces."""
+    return F.trim(F.regexp_replace(_without_entities(text), "[^A-Za-z]+", " "))
 
 
 def header_match_text(text: Column) -> Column:
@@ -60,9 +67,8 @@ def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
 
 
-def value_like(text: Column) -> Column:
-    """Whether a cell reads as a value: dashes, a number with a bracket, a span of years, or at least as many digits as letters."""
-    c = clean_text(text)
+def value_like(c: Column) -> Column:
+    """Whether a cleaned cell reads as a value: dashes, a number with a bracket, a span of years, or at least as many digits as letters."""
     plain = c.rlike("^-+$") | c.rlike(r"^[0-9]+(?:\.[0-9]+)?%? *\([^)]*[0-9][^)]*\)$") | c.rlike("^[0-9]{4} *(?:-|,) *[0-9]{4}$")
     marked = c.rlike("[%()<>±]")
     enough = F.when(marked, digits(c) >= F.greatest(F.lit(1), letters(c))).otherwise(digits(c) >= letters(c))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import clean_text, label_text
-from tabloom.operators.documents import TERM_WORDS
+from tabloom.operators.documents import term_hits
 
 # What methods and results add to a passage's score, and how many passages a table keeps.
 BONUS = {"methods_like": 0.2, "results_like": 0.1}
@@ -22,19 +22,6 @@ def canonical_label(label: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ ,;:]+$", ""))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(paper_id, doc_id, term) of terms that a document of their paper holds as whole words, by equality of word sequences."""
-    words = F.filter(F.split(F.lower(label_text(F.col("text"))), " "), lambda w: w != "")
-    spans = docs.where("paper_id is not null and text is not null").select("doc_id", "paper_id", words.alias("w"))
-    known = terms.where("length(term) >= 3").select("paper_id", "term", F.size(F.split("term", " ")).alias("n")).distinct().where(F.col("n") <= TERM_WORDS)
-    hits = None
-    for n in range(1, TERM_WORDS + 1):
-        grams = spans.where(F.size("w") >= n).select("doc_id", "paper_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("term"))
-        hit = grams.join(known.where(F.col("n") == n).select("paper_id", "term"), ["paper_id", "term"])
-        hits = hit if hits is None else hits.unionByName(hit)
-    return hits
-
-
 def table_context(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(table_id, doc_id, score, rank): the passages of methods and results that hold most of a table's terms.
 

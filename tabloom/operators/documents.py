@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import SPACE, label_text
+from tabloom.functions.text import ENTITIES, SPACE, label_text
 
 # What a section's heading may begin with or hold, in order of preference.
 SECTION_HINTS = [
@@ -19,6 +25,9 @@ SECTION_HINTS = [
 #: A numbered entry of a reference list, and words of a term at most.
 ENTRY = r"^(?:\[ *([0-9]{1,3}) *\]|([0-9]{1,3})[.)]) +(\S.*)$"
 TERM_WORDS = 6
+#: Bits of the filter that word sequences pass before they are joined with terms.
+FILTER_BITS = 1 << 18
+_WORDS = re.compile("[A-Za-z0-9]+")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -99,12 +108,39 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     Terms meet word sequences of the documents by equality, so no document is compared with every term.
     """
-    words = F.filter(F.split(F.lower(label_text(F.col("text"))), " "), lambda w: w != "")
-    spans = docs.where("paper_id is not null and text is not null").select("doc_id", "paper_id", words.alias("w"))
-    known = terms.select("paper_id", F.lower(label_text(F.col("term"))).alias("term")).where("length(term) >= 3").distinct().withColumn("n", F.size(F.split("term", " "))).where(F.col("n") <= TERM_WORDS)
-    out = None
-    for n in range(1, TERM_WORDS + 1):
-        grams = spans.where(F.size("w") >= n).select("doc_id", "paper_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("term"))
-        hit = grams.join(known.where(F.col("n") == n).select("paper_id", "term"), ["paper_id", "term"])
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("paper_id", "term").agg(F.countDistinct("doc_id").alias("n_docs"))
+    known = terms.select("paper_id", F.lower(label_text(F.col("term"))).alias("term"))
+    return term_hits(docs, known).groupBy("paper_id", "term").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(paper_id, doc_id, term) of terms, as words, that a document of their paper holds, by equality of word sequences.
+
+    Word sequences whose checksum no term has are dropped where they are made, by a bitmap of FILTER_BITS bits, whatever the
+    number of terms; the join decides. Null texts and papers give no rows.
+    """
+    known = terms.where("length(term) >= 3").select("paper_id", "term").distinct().where(F.size(F.split("term", " ")) <= TERM_WORDS)
+    bitmap = np.zeros(FILTER_BITS, dtype=bool)
+    bitmap[[r[0] for r in known.select(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(FILTER_BITS))).distinct().collect()]] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.tobytes()
+        for batch in batches:
+            owner, found = [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for entity in ENTITIES:
+                    text = text.replace(entity, " ")
+                words = _WORDS.findall(text)
+                seen = set()
+                for n in range(1, TERM_WORDS + 1):
+                    for k in range(len(words) - n + 1):
+                        gram = " ".join(words[k : k + n])
+                        if bits[zlib.crc32(gram.lower().encode()) % FILTER_BITS]:
+                            seen.add(gram.lower())
+                found += seen
+                owner += [row] * len(seen)
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("paper_id").take(at), pa.array(found, pa.string())], names=["doc_id", "paper_id", "term"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spans = docs.where("paper_id is not null and text is not null").select("doc_id", "paper_id", "text").mapInArrow(run, f"doc_id {kind}, paper_id string, term string")
+    return spans.join(known, ["paper_id", "term"])

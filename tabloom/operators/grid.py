@@ -13,7 +13,9 @@ KEY = ["table_id", "row_idx", "col_idx"]
 
 def unique_cells(cells: DataFrame) -> DataFrame:
     """One row per cell position: copies count once; of differing texts the smallest stands. Adds ``clean``."""
-    return cells.groupBy(*KEY).agg(F.min("text").alias("text"), F.min("bbox.x0").alias("x0")).withColumn("clean", F.coalesce(clean_text("text"), F.lit("")))
+    narrow = cells.select(*KEY, "text", F.col("bbox.x0").alias("x0"), F.coalesce(clean_text(F.col("text")), F.lit("")).alias("clean"))
+    # cleaned before the shuffle, which every use of the cells can then share
+    return narrow.groupBy(*KEY).agg(F.min("text").alias("text"), F.min("x0").alias("x0"), F.min_by("clean", "text").alias("clean")).fillna({"clean": ""})
 
 
 def row_views(cells: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def row_views(cells: DataFrame) -> DataFrame:
         F.count_if(filled).alias("n_filled"),
         F.count_if(filled & F.col("clean").rlike("[0-9]")).alias("n_numeric"),
         F.count_if(trailing).alias("n_trailing"),
-        F.count_if(trailing & value_like("text")).alias("n_value_like"),
+        F.count_if(trailing & value_like(F.col("clean"))).alias("n_value_like"),
         F.countDistinct(F.when(trailing, F.col("clean"))).alias("n_distinct"),
         (F.max("col_idx") + 1).alias("n_cols"),
     )
@@ -64,7 +66,8 @@ def body_starts(rows: DataFrame) -> DataFrame:
 def header_labels(cells: DataFrame, starts: DataFrame) -> DataFrame:
     """(table_id, col_idx, header, n_cols): the header cells of each column, top to bottom. Columns without one have ''."""
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("row_idx") < F.col("body_start")) & (F.col("clean") != ""), F.struct("row_idx", "clean")))), lambda x: x["clean"]), " ")
-    labels = cells.join(starts.select("table_id", "body_start"), "table_id").groupBy("table_id", "col_idx").agg(parts.alias("header"))
+    placed = cells.select(*KEY, "clean").join(starts.select("table_id", "body_start"), "table_id")
+    labels = placed.groupBy("table_id", "col_idx").agg(parts.alias("header"))
     return labels.withColumn("n_cols", (F.max("col_idx").over(Window.partitionBy("table_id")) + 1).cast("int"))
 
 
