@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,14 @@ def reference_rows(df: DataFrame, limit: int = REFERENCE_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"reference list has more than {limit} rows; join it instead of broadcasting it")
     return rows
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context, unless they start where they find it themselves."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    near = context.master.startswith("local") and (str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root)
+    if near or getattr(context, "_tabloom_sent", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tabloom-code-"), "tabloom"), "zip", root, "tabloom")
+    context.addPyFile(archive)
+    context._tabloom_sent = True
