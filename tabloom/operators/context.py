@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import clean_text, label_text
+from tabloom.functions.text import SPACE, clean_text, label_text
 from tabloom.operators.documents import term_hits
 
 # What methods and results add to a passage's score, and how many passages a table keeps.
@@ -13,6 +17,15 @@ BONUS = {"methods_like": 0.2, "results_like": 0.1}
 PASSAGES = 8
 SUMMARY_SUFFIX = r"(?i)[ ,–-]*(?:\b(?:n|no\.?) *\( *% *\)|\b(?:mean|median) *(?:\( *(?:sd|iqr|se) *\)|± *s[de]))$"
 
+# A mention of a table or figure with its numbers, one number, where a sentence ends, and table bodies in the text.
+_NUMBER = r"(?=[A-Za-z0-9.]*\d)[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*"
+_MENTION = re.compile(rf"\b(Table|Tables|Fig\.?|Figs\.?|Figure|Figures)\s*({_NUMBER}(?:\s*(?:,|and|&)\s*{_NUMBER}){{0,8}})\b", re.IGNORECASE)
+_ONE_NUMBER = re.compile(_NUMBER)
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
+_TABLE_BODY = re.compile(r"\bTable\s+[A-Za-z]?\d+[A-Za-z]?\b(?=.{0,240}\|)", re.IGNORECASE)
+_CUE = re.compile(r"\b(?:shown|presented|reported|summari[sz]ed|listed|described|displayed|provided|given|seen)\s+in\s*$|\b(?:see|refer\s+to|according\s+to)\s*$", re.IGNORECASE)
+_RULE = re.compile(r"\|\s*-{3,}\s*\|")
+
 
 def canonical_label(label: Column) -> Column:
     """A variable's label without what it says of the summary, of units in brackets at the end, and of note marks."""
@@ -39,7 +52,7 @@ def table_context(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def sentence_windows(docs: DataFrame, pattern: str = r"\bTable +S?[0-9]+") -> DataFrame:
-    """(doc_id, sentence, anchor): the first sentence with a match, and it with its neighbours."""
+    """(doc_id, sentence, anchor): the first sentence with a match, and it with its neighbours. ``reference_windows`` has all."""
     sentences = F.split(F.regexp_replace(clean_text(F.col("text")), r"([.?!]) +", "$1\n"), "\n")
     s = docs.where("text is not null").select("doc_id", sentences.alias("s"))
     at = F.array_position(F.transform("s", lambda x: x.rlike(pattern)), True)
@@ -49,6 +62,64 @@ def sentence_windows(docs: DataFrame, pattern: str = r"\bTable +S?[0-9]+") -> Da
     return found.select("doc_id", F.get("s", (F.col("at") - 1).cast("int")).alias("sentence"), F.array_join(F.slice("s", start, size), " ").alias("anchor"))
 
 
+def _prose(chunk: str) -> str:
+    """A cleaned paragraph without the table body it holds; blank if it is one."""
+    is_body = lambda t: t.count("|") >= 8 or _RULE.search(t) is not None
+    for start in _TABLE_BODY.finditer(chunk):
+        if not _CUE.search(chunk[max(0, start.start() - 120) : start.start()].strip()) and is_body(chunk[start.start() :]):
+            chunk = chunk[: start.start()].strip()
+            break
+    return "" if is_body(chunk) else chunk
+
+
+def _windows(paragraph: str) -> Iterator[tuple[str, str, str, int, int, int, str]]:
+    """(kind, number, matched, sentence, start, end, anchor) of each number mentioned; start and end count from the anchor's start."""
+    cuts = [0]
+    for end in _SENTENCE_END.finditer(paragraph):
+        cuts += [end.start(), end.end()]
+    cuts.append(len(paragraph))
+    spans = list(zip(cuts[::2], cuts[1::2]))
+    at = 0
+    for found in _MENTION.finditer(paragraph):
+        while at < len(spans) - 1 and found.start() >= spans[at + 1][0]:
+            at += 1
+        first, last = spans[max(0, at - 1)][0], spans[min(len(spans) - 1, at + 1)][1]
+        kind = "table" if found.group(1).lower().startswith("table") else "figure"
+        for number in _ONE_NUMBER.findall(found.group(2)):
+            yield kind, number.upper(), found.group(0), at, found.start() - first, found.end() - first, paragraph[first:last]
+
+
+def reference_windows(docs: DataFrame) -> DataFrame:
+    """One row per mention of a table or figure number in a document's prose, with its sentence and the neighbours of it.
+
+    (doc_id, paragraph_index, reference_index, reference_kind, reference_number, matched_text, sentence_index, start_char,
+    end_char, anchor_text). A mention of several numbers gives a row for each; start_char and end_char count from the
+    anchor's start. Windows stay in their paragraph; a heading and table bodies in the text are no prose. A document's
+    repeats are kept; null texts give none.
+    """
+    names = ["paragraph_index", "reference_index", "reference_kind", "reference_number", "matched_text", "sentence_index", "start_char", "end_char", "anchor_text"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for row, chunks in enumerate(batch.column("chunks").to_pylist()):
+                for index, paragraph in enumerate(p for p in map(_prose, chunks) if p):
+                    found = [(index, k, *w) for k, w in enumerate(_windows(paragraph))]
+                    rows += found
+                    owner += [row] * len(found)
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=["doc_id", *names])
+
+    first = F.trim(F.element_at(F.split("text", "\n"), 1))
+    headed = (F.length(first) <= 40) & first.rlike("^[A-Za-z][A-Za-z ]*$")
+    content = F.when(headed, F.regexp_replace("text", r"\A[^\n]*(?:\n|\z)", "")).otherwise(F.col("text"))
+    chunks = F.filter(F.transform(F.split(content, rf"\n{SPACE}*\n"), clean_text), lambda c: c != "")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, paragraph_index int, reference_index int, reference_kind string, reference_number string, matched_text string, sentence_index int, start_char int, end_char int, anchor_text string"
+    return docs.where("text is not null").select("doc_id", chunks.alias("chunks")).mapInArrow(run, schema)
+
+
 def variable_inventory(variables: DataFrame, tables: DataFrame, docs: DataFrame) -> DataFrame:
     """(paper_id, label, n_tables, n_docs, promoted): names of variables per paper, in how many tables and documents.
 

@@ -24,6 +24,10 @@ def txt6_sentence_windows(s: SparkSession, d: str) -> DataFrame:
     return X.sentence_windows(table(s, d, "documents"))
 
 
+def txt6_reference_windows(s: SparkSession, d: str) -> DataFrame:
+    return X.reference_windows(table(s, d, "documents"))
+
+
 def txt10_table_context(s: SparkSession, d: str) -> DataFrame:
     papers = table(s, d, "ext_table").select("table_id", "paper_id").distinct()
     terms = table(s, d, "def_variable").join(papers, "table_id").select("paper_id", "table_id", F.lower(T.label_text(X.canonical_label(F.col("variable_label")))).alias("term")).where("term <> ''")
@@ -113,4 +117,4 @@ SQL: dict[str, str] = {
     "r7_note_links": "with l as (" + _NOTES["jon15_note_links"] + ") select table_id, glyph, status, count(*) as n_markers from l group by all",
     "chk1_column_schema": _C + "select table_id, min(col_idx) = 0 and max(col_idx) = count(*) - 1 as contiguous, count(*) - count(distinct header) as n_repeated, count(*) filter (where header = '') as n_blank from roles group by 1",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (txt6_reference_windows,)}

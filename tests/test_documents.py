@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tabloom.operators import documents as D
-from tabloom.operators.context import table_context
+from tabloom.operators.context import reference_windows, table_context
 from tabloom.operators.footnotes import definitions, link_notes
 
 DOC = "doc_id long, paper_id string, text string, role_hint string, line string, term string"
@@ -32,6 +32,17 @@ def test_context_keeps_the_best_passages(spark):
     assert [r["doc_id"] for r in out] == [50, *range(7)] and out[0]["score"] == 1.1
 
 
+def test_every_reference_has_its_window(spark):
+    text = "Results\nOne. See Table 2. Two. As in Fig. 3, fell. Three.\n\nTables 1, S4 and 5 agree.\n\nTable 9 | a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"
+    out = reference_windows(docs(spark, [(1, "p", text), (2, "p", None), (3, "p", "Table 2\u00a0and table 2."), (4, None, "none")]))
+    rows = {(r["doc_id"], r["paragraph_index"], r["reference_index"]): r for r in out.collect()}
+    assert {k: (r["reference_kind"], r["reference_number"]) for k, r in rows.items()} == {
+        (1, 0, 0): ("table", "2"), (1, 0, 1): ("figure", "3"), (1, 1, 0): ("table", "1"), (1, 1, 1): ("table", "S4"), (1, 1, 2): ("table", "5"), (3, 0, 0): ("table", "2"), (3, 0, 1): ("table", "2"),
+    }
+    assert rows[1, 0, 0]["anchor_text"] == "One. See Table 2. Two." and rows[1, 0, 1]["anchor_text"] == "Two. As in Fig. 3, fell." and rows[1, 1, 2]["anchor_text"] == "Tables 1, S4 and 5 agree."
+    assert all(r["anchor_text"][r["start_char"] : r["end_char"]] == r["matched_text"] for r in rows.values())
+
+
 def test_bibliography(spark):
     text = "References\n1. Able A. One.\n  goes on\n[2] Baker B. Two.\n\nnot an entry\n4. Charlie."
     out = D.bibliography_entries(docs(spark, [(1, "p", text), (2, "p", "1. Again."), (3, None, None), (4, "p", "")]))
