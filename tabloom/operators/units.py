@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import units as U
-from tabloom.functions.fold import bare, fold
+from tabloom.functions.fold import HYPHENS, INVISIBLE, LOOKALIKES, SPACES, WIDE, bare, fold
 from tabloom.functions.forest import CalibratedForest
 from tabloom.functions.labels import stages, unit_tails, variants
 from tabloom.functions.ngrams import NgramIndex
+from tabloom.operators.packed import split_values
 from tabloom.runtime import checkpoint, reference_rows
 
 #: Least score of a label's entry, labelled variables the forest is trained on, and the probability at which it decides.
@@ -36,6 +37,38 @@ def read_cell(text: str) -> tuple[float | None, float | None, str | None]:
     return (numbers[0] if numbers else None), (numbers[1] if len(numbers) > 1 else None), U.cell_unit(folded)
 
 
+#: A number that is no part of a word or of a power; a lost ± sign; a share in brackets; headers of columns without measured values.
+_SIGNED = re.compile(r"(?<![^\W_])(?<![\d.,])(?<![^\W\d_]-)(?P<sign>[<>≤≥]=?)?\s*(?P<number>(?:(?<!\d)-)?(?:\d[\d,]*(?:\.\d+)?|\.\d+))")
+_SIX, _SHARE = re.compile(r"(?<=\S)\s+6\s+(?=\d)"), re.compile(r"[(\[]\s*[<>≤≥]?\s*[\d.,]+\s*%\s*[)\]]")
+_P_VALUE, _TENS = re.compile(r"\s*[pP]\s*[<>=≤≥]"), re.compile(r"\d\s+(?P<unit>10[ -]?[^\W\d_][^()\[\]±;|]*?)\s*(?=[(\[±]|\+/-|$)")
+_DASH = re.compile(r"(?<=[\d)])\s*[-–]\s*(?=[\d.])")
+STATISTIC_HEADER = r"(?i)^[*_ ]*p[ -]*(?:values?|(?:for )?trend)?[ *†‡§¶#_]*$|\bsmd\b|standardi[sz]ed (?:mean )?difference"
+
+
+def read_values(text: str) -> list[tuple[float, float | None, float | None, float | None, str | None, str | None, bool]]:
+    """(value, spread, low, high, relation, unit, share) of each value printed in a cell; a field may hold several.
+
+    One number after the value is its spread, two are its low and high. share: the companion is a percentage.
+    """
+    out = []
+    for part in split_values(text, frozenset()) or [text]:
+        plain = fold(part).replace("−", "-")
+        if _P_VALUE.match(plain):
+            continue
+        tens = _TENS.search(plain)
+        unit = tens["unit"] if tens and U.readings(tens["unit"]) else U.cell_unit(plain)
+        if unit:
+            at = plain.index(unit)
+            plain = f"{plain[:at]} {plain[at + len(unit):]}"
+        share = _SHARE.search(plain) is not None
+        found = list(_SIGNED.finditer(_DASH.sub(" – ", _SIX.sub(" ± ", plain))))
+        numbers = [float(f["number"].replace(",", "")) for f in found[:3]]
+        if numbers:
+            spread = numbers[1] if len(numbers) == 2 else None
+            out.append((numbers[0], spread, *(numbers[1:3] if len(numbers) == 3 else (None, None)), found[0]["sign"], unit, share))
+    return out
+
+
 def _unit_of(text: str | None, units: dict[str, int]) -> int | None:
     """The one unit of a quantity that a text stands for."""
     if not text:
@@ -53,8 +86,15 @@ def _label_unit(label: str, units: dict[str, int]) -> int | None:
     return None
 
 
-def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """What is recorded of each measured variable: variable_id, table_id, canon_id, quantity, hint_unit, label_unit, cell_unit, magnitude, spread, style, extractor.
+def _symbols(unit_ref: DataFrame) -> dict[str, dict[str, int]]:
+    units: dict[str, dict[str, int]] = {}
+    for r in reference_rows(unit_ref.select("unit_id", "quantity", "symbol")):
+        units.setdefault(r["quantity"], {})[r["symbol"].lower()] = r["unit_id"]
+    return units
+
+
+def measured_variables(variables: DataFrame, canon: DataFrame, unit_ref: DataFrame) -> DataFrame:
+    """Variables with a quantity: variable_id, table_id, row_start, style, canon_id, quantity, hint_unit, label_unit.
 
     One row per variable whose label means an entry with a quantity, whatever its type; copies count once.
     The canonical list and the units are reference lists of checked size.
@@ -62,9 +102,7 @@ def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, uni
     entries = reference_rows(canon.where("label_kind = 'variable'").select("canon_id", "canon_text", "aliases", "quantity"))
     quantity = {r["canon_id"]: r["quantity"] for r in entries}
     named = [(r["canon_id"], bare(n)) for r in entries for n in [r["canon_text"], *(r["aliases"] or [])] if n]
-    units: dict[str, dict[str, int]] = {}
-    for r in reference_rows(unit_ref.select("unit_id", "quantity", "symbol")):
-        units.setdefault(r["quantity"], {})[r["symbol"].lower()] = r["unit_id"]
+    units = _symbols(unit_ref)
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = NgramIndex(named)
@@ -90,7 +128,12 @@ def recorded_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, uni
     # by label, so that each is looked up in one task; that also serves the removal of copies
     tasks = int(variables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = variables.select("variable_id", "table_id", "variable_label", "units_hint", "row_start", F.col("summary_style_hint").alias("style")).repartition(tasks, "variable_label").distinct()
-    measured = checkpoint(narrow.mapInArrow(labels, "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, hint_unit int, label_unit int"))
+    return checkpoint(narrow.mapInArrow(labels, "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, hint_unit int, label_unit int"))
+
+
+def recorded_units(measured: DataFrame, cells: DataFrame, unit_ref: DataFrame) -> DataFrame:
+    """What is recorded of each measured variable: variable_id, table_id, canon_id, quantity, hint_unit, label_unit, cell_unit, magnitude, spread, style, extractor."""
+    units = _symbols(unit_ref)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,15 +185,17 @@ def _features(df: DataFrame, unit_ref: DataFrame) -> DataFrame:
 _INPUTS = ["log_magnitude", "log_spread", "table_share", "paper_share", "style_code", "extractor_code"]
 
 
-def assign_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_ref: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
+def assign_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_ref: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT, measured: DataFrame | None = None) -> DataFrame:
     """One row per measured variable: variable_id, table_id, canon_id, quantity, unit_id, source, probability.
 
     source: ``recorded`` if all that is recorded agrees, ``conflict`` if recorded units differ and the forest picked
     among them, ``predicted`` if none is recorded and the forest is sure, else ``review`` with unit_id null. The forest is
     fitted on at most ``training_rows`` variables with one plain unit, drawn by a hash of their id; it is applied to all.
     Variables without magnitude or quantity model can't be predicted. Null labels and labels without quantity give no row.
+    ``measured``: what measured_variables gave, if that is known.
     """
-    rows = checkpoint(_features(checkpoint(recorded_units(variables, cells, canon, unit_ref)), unit_ref))
+    measured = measured_variables(variables, canon, unit_ref) if measured is None else measured
+    rows = checkpoint(_features(checkpoint(recorded_units(measured, cells, unit_ref)), unit_ref))
     plain = F.coalesce("hint_unit", "label_unit", "cell_unit")
     agreed = plain.isNotNull() & (F.coalesce("hint_unit", plain) == plain) & (F.coalesce("label_unit", plain) == plain) & (F.coalesce("cell_unit", plain) == plain)
     labelled = rows.where(agreed & F.col("magnitude").isNotNull())
@@ -194,3 +239,48 @@ def common_values(assigned: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """The assigned variables with their middle value in the quantity's common unit: adds common_value."""
     factors = F.broadcast(unit_ref.select("unit_id", "factor", "shift"))
     return assigned.join(factors, "unit_id", "left").withColumn("common_value", F.col("magnitude") * F.col("factor") + F.col("shift")).drop("factor", "shift")
+
+
+def printed_values(measured: DataFrame, cells: DataFrame, unit_ref: DataFrame) -> DataFrame:
+    """(variable_id, col_idx, pos, value, spread, low, high, relation, said_unit): every value printed in a variable's row.
+
+    Several values packed in a cell have their own pos. Copies of a cell count once. Columns of p values and of standardised
+    differences hold no measured values, nor does a count with its percentage; cells without a number give no row.
+    """
+    units = _symbols(unit_ref)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for row, (text, of) in enumerate(zip(batch.column("text").to_pylist(), batch.column("quantity").to_pylist())):
+                for pos, (*numbers, relation, unit, share) in enumerate(read_values(text) if text else []):
+                    if not share or "%" in units[of]:
+                        owner.append(row)
+                        rows.append((pos, *numbers, relation, _unit_of(unit, units[of])))
+            columns = zip(*rows) if rows else [[]] * 7
+            types = [pa.int32(), *[pa.float64()] * 4, pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n).take(pa.array(owner, pa.int64())) for n in ("variable_id", "col_idx")), *(pa.array(list(c), t) for c, t in zip(columns, types))],
+                names=["variable_id", "col_idx", "pos", "value", "spread", "low", "high", "relation", "said_unit"],
+            )
+
+    plain = {chr(c + WIDE): chr(c) for c in range(0x21, 0x7F)} | LOOKALIKES | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
+    header = F.regexp_replace(F.trim(F.translate("text", "".join(plain) + INVISIBLE, "".join(plain.values()))), r"\s+", " ")
+    statistics = cells.where((F.col("col_idx") > 0) & (F.length("text") <= 60) & header.rlike(STATISTIC_HEADER)).select("table_id", "col_idx").distinct()
+    printed = cells.where("col_idx > 0").select("table_id", F.col("row_idx").alias("row_start"), "col_idx", "text").join(statistics, ["table_id", "col_idx"], "left_anti")
+    rows = measured.select("variable_id", "table_id", "row_start", "quantity").join(printed, ["table_id", "row_start"]).select("variable_id", "col_idx", "quantity", "text")
+    return rows.mapInArrow(read, "variable_id long, col_idx int, pos int, value double, spread double, low double, high double, relation string, said_unit int").distinct()
+
+
+def converted_values(assigned: DataFrame, printed: DataFrame, unit_ref: DataFrame) -> DataFrame:
+    """Every printed value of the assigned variables, also in the quantity's common unit; a unit that is not known gives nulls.
+
+    Adds common_value, common_spread, common_low and common_high. A cell that prints its own unit is read in it, but where
+    sources disagree the unit picked for the variable counts. Values, lows and highs take factor and shift, spreads the factor.
+    """
+    known = assigned.drop("magnitude").join(printed, "variable_id")
+    own = F.when(F.col("source") == "conflict", F.col("unit_id")).otherwise(F.coalesce("said_unit", "unit_id"))
+    out = known.withColumn("unit_id", own).drop("said_unit").join(F.broadcast(unit_ref.select("unit_id", "factor", "shift")), "unit_id", "left")
+    for name in ("value", "spread", "low", "high"):
+        out = out.withColumn(f"common_{name}", F.col(name) * F.col("factor") + (F.lit(0.0) if name == "spread" else F.col("shift")))
+    return out.drop("factor", "shift")

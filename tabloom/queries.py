@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.nested import boundary_nodes, grid_cells
 from tabloom.operators.packed import split_packed
 from tabloom.operators.references import find_orphans
-from tabloom.operators.units import assign_units, common_values
+from tabloom.operators.units import assign_units, common_values, converted_values, measured_variables, printed_values
 from tabloom.plans import context_queries, grid_queries, note_queries, paper_queries, quality_queries
 from tabloom.runtime import reference_rows, table
 
@@ -77,13 +77,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every measured variable's unit and each of its printed values, with companions, as printed and in the common unit."""
+    variables, cells, canon, units = (table(spark, d, n) for n in ("def_variable", "ext_cell", "canon_label", "unit_ref"))
+    measured = measured_variables(variables, canon, units)
+    assigned = assign_units(variables, cells, canon, units, measured=measured)
+    values = converted_values(assigned, printed_values(measured, cells, units), units)
+    numbers = [f"{p}{n}" for p in ("", "common_") for n in ("value", "spread", "low", "high")]
+    return values.select("variable_id", "col_idx", "pos", "quantity", "unit_id", "source", F.round("probability", 6).alias("probability"), "relation", *numbers)
+
+
+def p6_medians(spark: SparkSession, d: str) -> DataFrame:
     """Every measured variable's unit, how it was told and its middle value in the common unit."""
     values = common_values(_p6_assigned(spark, d), table(spark, d, "unit_ref"))
     return values.select("variable_id", "quantity", "unit_id", "source", F.round("probability", 6).alias("probability"), "common_value")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules, p6_found, p6_values)
+    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules, p6_found, p6_values, p6_medians)
 }
 
 _P1 = """

@@ -2,7 +2,7 @@ import numpy as np
 
 from tabloom.functions.forest import CalibratedForest
 from tabloom.functions.units import cell_unit, readings
-from tabloom.operators.units import assign_units, common_values
+from tabloom.operators.units import assign_units, common_values, converted_values, measured_variables, printed_values, read_values
 
 
 def test_spellings():
@@ -65,3 +65,28 @@ def test_empty_tables(spark):
     args = tables(spark, [(1, "t", "Sex", None, 1, None, None)], [("t", 1, 1, "x", None)])
     assert assign_units(*args).count() == 0
     assert assign_units(args[0].limit(0), args[1].limit(0), *args[2:]).count() == 0
+
+
+def test_readings_of_cells():
+    for text, want in [
+        ("80 (9)", [(80, 9, None, None)]), ("5.1 (2.0, 7.7)", [(5.1, None, 2, 7.7)]), ("5.1 [2.0-7.7]", [(5.1, None, 2, 7.7)]), ("5.1 (2.0–7.7)", [(5.1, None, 2, 7.7)]), ("1,374 6 581", [(1374, 581, None, None)]),
+        ("0.08 - 0.02", [(0.08, 0.02, None, None)]), ("0.08-0.02", [(0.08, 0.02, None, None)]), ("172.8 mg dL-1 (34.0)", [(172.8, 34, None, None)]), ("12 cmH2O (3)", [(12, 3, None, None)]), ("−2.5 ± 1.1", [(-2.5, 1.1, None, None)]),
+        ('"53.6 (9.5)","51.5 (9.4)"', [(53.6, 9.5, None, None), (51.5, 9.4, None, None)]), ("5.6 10-y units (1.3)", [(5.6, 1.3, None, None)]), ("p = 0.06", []), ("36.8", [(36.8, None, None, None)]), ("N/A", []), ("", []),
+    ]:
+        assert [v[:4] for v in read_values(text)] == want, text
+    assert read_values("<0.5")[0][4] == "<" and read_values("12 (3.4%)")[0][6]
+
+
+def test_every_printed_value_is_converted(spark):
+    variables = [(1, "t", "Weight", None, 1, "lb", None), (2, "t", "Weight", None, 2, "kg", None), (3, "t", "Temperature", None, 3, "F", None)]
+    cells = [("t", 0, 1, "A", "e"), ("t", 0, 2, "B", "e"), ("t", 0, 3, "ｐ\u00a0v\u200dalue", "e"), ("t", 1, 1, "180 (20)", "e"), ("t", 1, 2, "160 (120, 200)", "e"), ("t", 1, 3, "0.02", "e"), ("t", 2, 1, "80 (9); 70 (8)", "e"), ("t", 2, 2, "12 (3.4%)", "e"), ("t", 3, 1, "98.6 (1.8)", "e"), ("t", 3, 2, "98.6 [96.8, 100.4]", "e"), ("t", 3, 2, "98.6 [96.8, 100.4]", "f")]
+    v, c, canon, units = tables(spark, variables, cells)
+    canon = canon.unionByName(spark.createDataFrame([(9, "variable", "Temperature", None, "temperature")], canon.schema))
+    units = units.unionByName(spark.createDataFrame([(40, "temperature", "F", 5 / 9, -160 / 9, False), (39, "temperature", "C", 1.0, 0.0, True)], units.schema))
+    measured = measured_variables(v, canon, units)
+    out = converted_values(assign_units(v, c, canon, units, measured=measured), printed_values(measured, c, units), units).collect()
+    got = {(r["variable_id"], r["col_idx"], r["pos"]): tuple(None if x is None else round(x, 3) for x in (r["common_value"], r["common_spread"], r["common_low"], r["common_high"])) for r in out}
+    assert len(out) == len(got) and got == {
+        (1, 1, 0): (81.647, 9.072, None, None), (1, 2, 0): (72.575, None, 54.431, 90.718), (2, 1, 0): (80.0, 9.0, None, None), (2, 1, 1): (70.0, 8.0, None, None),
+        (3, 1, 0): (37.0, 1.0, None, None), (3, 2, 0): (37.0, None, 36.0, 38.0),
+    }
