@@ -22,7 +22,7 @@ SECTION_HINTS = [
     ("conclusion_like", ["conclusion", "summary"]),
     ("references_like", ["reference", "bibliography", "works cited"]),
 ]
-#: A numbered entry of a reference list, and words of a term at most.
+#: A numbered entry of a reference list, and words of a term at most in the SQL; the search itself has no such bound.
 ENTRY = r"^(?:\[ *([0-9]{1,3}) *\]|([0-9]{1,3})[.)]) +(\S.*)$"
 TERM_WORDS = 6
 #: Bits of the filter that word sequences pass before they are joined with terms.
@@ -115,27 +115,29 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(paper_id, doc_id, term) of terms, as words, that a document of their paper holds, by equality of word sequences.
 
-    Word sequences whose checksum no term has are dropped where they are made, by a bitmap of FILTER_BITS bits, whatever the
-    number of terms; the join decides. Null texts and papers give no rows.
+    Word sequences whose checksums, forth and back, no term has are dropped where they are made, by bitmaps of FILTER_BITS
+    bits, whatever the number of terms; the join decides. Sequences are as long as the terms are. Null texts and papers give no rows.
     """
-    known = terms.where("length(term) >= 3").select("paper_id", "term").distinct().where(F.size(F.split("term", " ")) <= TERM_WORDS)
-    bitmap = np.zeros(FILTER_BITS, dtype=bool)
-    bitmap[[r[0] for r in known.select(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(FILTER_BITS))).distinct().collect()]] = True
+    known = terms.where("length(term) >= 3").select("paper_id", "term").distinct()
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("term", " "))).distinct().collect())
+    bitmaps = np.zeros((2, FILTER_BITS), dtype=bool)
+    for bitmap, form in zip(bitmaps, (F.col("term"), F.reverse("term"))):
+        bitmap[[r[0] for r in known.select(F.pmod(F.crc32(F.encode(form, "utf-8")), F.lit(FILTER_BITS))).distinct().collect()]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.tobytes()
+        forth, back = (bitmap.tobytes() for bitmap in bitmaps)
         for batch in batches:
             owner, found = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for entity in ENTITIES:
                     text = text.replace(entity, " ")
-                words = _WORDS.findall(text)
+                words = [w.lower() for w in _WORDS.findall(text)]
                 seen = set()
-                for n in range(1, TERM_WORDS + 1):
+                for n in lengths:
                     for k in range(len(words) - n + 1):
                         gram = " ".join(words[k : k + n])
-                        if bits[zlib.crc32(gram.lower().encode()) % FILTER_BITS]:
-                            seen.add(gram.lower())
+                        if forth[zlib.crc32(gram.encode()) % FILTER_BITS] and back[zlib.crc32(gram[::-1].encode()) % FILTER_BITS]:
+                            seen.add(gram)
                 found += seen
                 owner += [row] * len(seen)
             at = pa.array(owner, pa.int64())

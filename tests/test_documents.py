@@ -25,6 +25,13 @@ def test_terms_against_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+def test_long_terms_are_found(spark):
+    long, longer = "age at the time of first diagnosis years", " ".join(f"w{k}" for k in range(40))
+    d = docs(spark, [(1, "p", f"We took Age at the time of first diagnosis, years; {longer}."), (2, "p", "age at the time of first"), (3, "q", longer)])
+    terms = spark.createDataFrame([("p", long), ("p", longer), ("p", "age")], "paper_id string, term string")
+    assert {(r["doc_id"], r["term"]) for r in D.term_hits(d, terms).collect()} == {(1, long), (1, longer), (1, "age"), (2, "age")}
+
+
 def test_context_keeps_the_best_passages(spark):
     rows = [(k, "p", "age sex") for k in range(12)] + [(50, "p", "age sex bmi"), (51, "q", "age sex bmi")]
     terms = spark.createDataFrame([("p", "t", x) for x in ("age", "sex", "bmi")], "paper_id string, table_id string, term string")
