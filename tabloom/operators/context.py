@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.text import SPACE, clean_text, label_text
 from tabloom.operators.documents import term_hits
+from tabloom.runtime import checkpoint
 
 # What methods and results add to a passage's score, and how many passages a table keeps.
 BONUS = {"methods_like": 0.2, "results_like": 0.1}
@@ -51,6 +52,30 @@ def table_context(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= PASSAGES).select("table_id", "doc_id", "score", "rank")
 
 
+def table_passages(docs: DataFrame, terms: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(table_id, doc_id, match_type, score, rank): documents that name the table, whatever their role, and those that hold its terms.
+
+    ``numbers``: paper_id, table_id, number. A document that names the table's number scores 1.0 and isn't scored by terms;
+    others of methods and results score as in ``table_context``. The best PASSAGES are taken, ties by document id, and of
+    those with the same text the first is kept, so that a table may keep fewer; ranks stay as they were.
+    """
+    papers = docs.where("paper_id is not null and text is not null").select("doc_id", "paper_id", "role_hint", F.sha2("text", 256).alias("text_hash")).distinct()
+    said = reference_windows(docs).where("reference_kind = 'table'").select("doc_id", F.col("reference_number").alias("number")).distinct()
+    own_number = numbers.where("number is not null").select("paper_id", "table_id", F.upper("number").alias("number")).distinct()
+    named = said.join(papers.select("doc_id", "paper_id"), "doc_id").join(own_number, ["paper_id", "number"]).select("table_id", "doc_id").distinct()
+    own = checkpoint(terms.select("paper_id", "table_id", "term").where("term <> ''").distinct())
+    sizes = own.groupBy("table_id").agg(F.count("*").alias("n_terms"))
+    held = term_hits(docs.where(F.col("role_hint").isin(list(BONUS))), own).join(own, ["paper_id", "term"]).groupBy("table_id", "doc_id").agg(F.count("*").alias("n_held"))
+    bonus = F.when(F.col("role_hint") == "methods_like", BONUS["methods_like"]).otherwise(BONUS["results_like"])
+    match = F.when(F.col("role_hint") == "methods_like", "methods_term_match").otherwise("results_term_match")
+    by_terms = held.join(named, ["table_id", "doc_id"], "left_anti").join(sizes, "table_id").join(papers, "doc_id").select("table_id", "doc_id", match.alias("match_type"), F.round(F.col("n_held") / F.col("n_terms") + bonus, 4).alias("score"))
+    both = named.select("table_id", "doc_id", F.lit("table_reference").alias("match_type"), F.lit(1.0).alias("score")).unionByName(by_terms)
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= PASSAGES)
+    texts = best.join(papers.select("doc_id", "text_hash"), "doc_id")
+    again = F.row_number().over(Window.partitionBy("table_id", "text_hash").orderBy("rank"))
+    return texts.withColumn("again", again).where("again = 1").select("table_id", "doc_id", "match_type", "score", "rank")
+
+
 def sentence_windows(docs: DataFrame, pattern: str = r"\bTable +S?[0-9]+") -> DataFrame:
     """(doc_id, sentence, anchor): the first sentence with a match, and it with its neighbours. ``reference_windows`` has all."""
     sentences = F.split(F.regexp_replace(clean_text(F.col("text")), r"([.?!]) +", "$1\n"), "\n")

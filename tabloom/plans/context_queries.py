@@ -34,6 +34,18 @@ def txt10_table_context(s: SparkSession, d: str) -> DataFrame:
     return X.table_context(table(s, d, "documents"), terms)
 
 
+def txt10_table_passages(s: SparkSession, d: str) -> DataFrame:
+    """Passages of each table: those that name it, then those with its row, column and grouping terms."""
+    tables = table(s, d, "ext_table")
+    papers, roles = tables.select("table_id", "paper_id").distinct(), _roles(s, d)
+    heads = F.regexp_replace("match_text", r" *\(? *n *= *[0-9,]+ *\)?", "")
+    columns = roles.where("col_idx > 0 and role not in ('overall', 'p_value', 'smd')").select("table_id", heads.alias("term"))
+    groups = Q.grouping(tables, roles).select("table_id", F.col("grouping_label").alias("term")).distinct()
+    labels = table(s, d, "def_variable").select("table_id", X.canonical_label(F.col("variable_label")).alias("term"))
+    terms = labels.unionByName(columns).unionByName(groups).join(papers, "table_id").select("paper_id", "table_id", F.lower(T.label_text(F.col("term"))).alias("term"))
+    return X.table_passages(table(s, d, "documents"), terms, _numbered(s, d))
+
+
 def txt11_variable_inventory(s: SparkSession, d: str) -> DataFrame:
     return X.variable_inventory(table(s, d, "def_variable"), table(s, d, "ext_table"), table(s, d, "documents"))
 
@@ -117,4 +129,4 @@ SQL: dict[str, str] = {
     "r7_note_links": "with l as (" + _NOTES["jon15_note_links"] + ") select table_id, glyph, status, count(*) as n_markers from l group by all",
     "chk1_column_schema": _C + "select table_id, min(col_idx) = 0 and max(col_idx) = count(*) - 1 as contiguous, count(*) - count(distinct header) as n_repeated, count(*) filter (where header = '') as n_blank from roles group by 1",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (txt6_reference_windows,)}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (txt6_reference_windows, txt10_table_passages)}

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tabloom.operators import documents as D
-from tabloom.operators.context import reference_windows, table_context
+from tabloom.operators.context import reference_windows, table_context, table_passages
 from tabloom.operators.footnotes import definitions, link_notes
 
 DOC = "doc_id long, paper_id string, text string, role_hint string, line string, term string"
@@ -39,6 +39,15 @@ def test_context_keeps_the_best_passages(spark):
     assert [r["doc_id"] for r in out] == [50, *range(7)] and out[0]["score"] == 1.1
 
 
+def test_passages_that_name_the_table_come_first(spark):
+    rows = [(1, "p", "age sex", "results_like"), (2, "p", "see tables 4 and 2", "other"), (3, "p", "age only", "discussion_like"), (4, "q", "Table 2", "other"), (5, "p", "age sex", "results_like"), (6, "p", "bmi", "methods_like"), (7, "p", "Table 22", "other"), (8, "p", "Table 2 by age and sex", "results_like")]
+    d = spark.createDataFrame([(i, p, t, r, "clash", "clash") for i, p, t, r in rows], DOC)
+    terms = spark.createDataFrame([("p", "t", x) for x in ("age", "sex", "bmi")], "paper_id string, table_id string, term string")
+    numbers = spark.createDataFrame([("p", "t", "2"), ("p", "u", None)], "paper_id string, table_id string, number string")
+    out = table_passages(d, terms, numbers).orderBy("rank").collect()
+    assert [(r["doc_id"], r["match_type"], r["score"]) for r in out] == [(2, "table_reference", 1.0), (8, "table_reference", 1.0), (1, "results_term_match", 0.7667), (6, "methods_term_match", 0.5333)]
+
+
 def test_every_reference_has_its_window(spark):
     text = "Results\nOne. See Table 2. Two. As in Fig. 3, fell. Three.\n\nTables 1, S4 and 5 agree.\n\nTable 9 | a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |"
     out = reference_windows(docs(spark, [(1, "p", text), (2, "p", None), (3, "p", "Table 2\u00a0and table 2."), (4, None, "none")]))
