@@ -1,8 +1,8 @@
 """Several values packed in one field: one row per value, with its position.
 
-The texts of a batch are scanned as one byte buffer: a prefix parity of the quotes and a prefix sum of the
-brackets mark the bytes that may separate, delimiter masks give the cuts, and the cuts give child offsets from
-which list arrays are built and flattened with the ordinals of their parents.
+The folded texts of a batch are scanned as one byte buffer: a prefix parity of the quotes and a prefix sum of the
+brackets mark the bytes that may separate, and delimiter masks tell which texts have a cut at all. Those are split
+one by one, character by character; list arrays are built from the counts and flattened with the ordinals of their parents.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.fold import bare, fold
+from tabloom.functions.fold import INVISIBLE, SPACES, bare, fold
 
 _NUMBER = r"(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?(?<=\d)"
 _UNIT = r"(?:%|[^\W\d_][\w%°/.²-]*(?: [^\W\d_][\w%°/.²-]*){0,4}|°\w+)"
@@ -121,18 +121,19 @@ def split_values(text: str, names: frozenset[str]) -> list[str]:
 
 def split_batch(texts: Sequence[str], names: frozenset[str]) -> tuple[np.ndarray, pa.Array]:
     """Offsets into the flat values of the texts (len + 1), and the values."""
-    _, _, _, owner, _ = _cuts(texts)
+    folded = [fold(t) for t in texts]
+    _, _, _, owner, _ = _cuts(folded)
     counts = np.zeros(len(texts), dtype=np.int32)
     flat: list[str] = []
     for i in np.unique(owner):
-        values = split_values(texts[i], names)
+        values = split_values(folded[i], names)
         counts[i] = len(values)
         flat += values
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(flat, pa.string())
 
 
 #: What must occur in a text for it to hold two values: a delimiter, or a character that may fold to one.
-_MAY_SPLIT = r'[;|\t\n,/"·]|[  -   　][  -   　]|[；｜，／＂]'
+_MAY_SPLIT = rf'[;|\t\n,/"·]|[ {SPACES}][{INVISIBLE}]*[ {SPACES}]|[；｜，／＂]'
 
 
 def split_packed(df: DataFrame, text_col: str, names: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:

@@ -51,3 +51,9 @@ def test_rows_keep_position_and_repeats(spark):
     assert sorted(r["pos"] for r in out if r["k"] == "e") == list(range(20_000))
     assert {r["k"] for r in out} == {"a", "e"}
     assert split_packed(df.limit(0), "text", [], ["k"]).count() == 0
+
+
+def test_lookalike_delimiters_reach_the_split(spark):
+    rows = [("w", "１２ （３．４）； １５ （２．２）"), ("n", "12 (3.4)\u00a0\u00a015 (2.2)"), ("q", '"12 (3.4)； 15 (2.2)"'), ("s", "12 (3.4)")]
+    out = split_packed(spark.createDataFrame(rows, "k string, text string"), "text", NAMES, ["k"]).collect()
+    assert sorted((r["k"], r["pos"], r["value"]) for r in out) == [(k, p, v) for k in "nw" for p, v in enumerate(["12 (3.4)", "15 (2.2)"])]
