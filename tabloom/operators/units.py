@@ -22,7 +22,7 @@ from tabloom.functions.fold import HYPHENS, INVISIBLE, LOOKALIKES, SPACES, WIDE,
 from tabloom.functions.forest import CalibratedForest
 from tabloom.functions.labels import stages, unit_tails, variants
 from tabloom.functions.ngrams import NgramIndex
-from tabloom.operators.packed import split_values
+from tabloom.operators.packed import split_batch, split_values
 from tabloom.runtime import checkpoint, reference_rows
 
 #: Least score of a label's entry, labelled variables the forest is trained on, and the probability at which it decides.
@@ -45,13 +45,14 @@ _DASH = re.compile(r"(?<=[\d)])\s*[-–]\s*(?=[\d.])")
 STATISTIC_HEADER = r"(?i)^[*_ ]*p[ -]*(?:values?|(?:for )?trend)?[ *†‡§¶#_]*$|\bsmd\b|standardi[sz]ed (?:mean )?difference"
 
 
-def read_values(text: str) -> list[tuple[float, float | None, float | None, float | None, str | None, str | None, bool]]:
+def read_values(text: str, parts: list[str] | None = None) -> list[tuple[float, float | None, float | None, float | None, str | None, str | None, bool]]:
     """(value, spread, low, high, relation, unit, share) of each value printed in a cell; a field may hold several.
 
     One number after the value is its spread, two are its low and high. share: the companion is a percentage.
+    ``parts``: the values the field holds, if it has been split.
     """
     out = []
-    for part in split_values(text, frozenset()) or [text]:
+    for part in (split_values(text, frozenset()) if parts is None else parts) or [text]:
         plain = fold(part).replace("−", "-")
         if _P_VALUE.match(plain):
             continue
@@ -252,8 +253,11 @@ def printed_values(measured: DataFrame, cells: DataFrame, unit_ref: DataFrame) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, rows = [], []
-            for row, (text, of) in enumerate(zip(batch.column("text").to_pylist(), batch.column("quantity").to_pylist())):
-                for pos, (*numbers, relation, unit, share) in enumerate(read_values(text) if text else []):
+            texts = batch.column("text").to_pylist()
+            offsets, parts = split_batch([t or "" for t in texts], frozenset())
+            parts = parts.to_pylist()
+            for row, (text, of) in enumerate(zip(texts, batch.column("quantity").to_pylist())):
+                for pos, (*numbers, relation, unit, share) in enumerate(read_values(text, parts[offsets[row] : offsets[row + 1]]) if text else []):
                     if not share or "%" in units[of]:
                         owner.append(row)
                         rows.append((pos, *numbers, relation, _unit_of(unit, units[of])))
