@@ -1,8 +1,8 @@
 """Visually identical text with different characters, brought to one consistent form.
 
-A mapping from clusters to clusters is precomputed for widths, spaces, invisible characters, composed accents,
-ligatures and look-alikes, checked for conflicts, and compiled into one longest-match transducer that reads a text
-once. Longer entries keep characters that are meant: a Greek designation before a hyphen (beta-blocker) is a longer
+A mapping from grapheme clusters to plain ones is precomputed for widths, spaces, invisible characters, letters with any
+number of combining accents in any order, ligatures and look-alikes, checked for conflicts, and compiled into one
+longest-match transducer that reads a text once. Longer entries keep characters that are meant: a Greek designation before a hyphen (beta-blocker) is a longer
 match than the look-alike capital alone.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import permutations
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.fold import HYPHENS, INVISIBLE, LOOKALIKES, SPACES, WIDE
 
-# Accents that combine with the letter before them.
-ACCENTS = "̧̨̛̀́̂̃̄̆̇̈̊̋̌̓̔ͅ"
 # Greek letters that name a substance, a drug class or a particle when a hyphen follows.
 DESIGNATIONS = "ΑΒΓΔαβγδ"
 #: Ranges whose compatibility forms are only another way to print plain letters and digits.
@@ -29,6 +29,12 @@ _COMPATIBLE = [(0x2160, 0x2180), (0xFB00, 0xFB07), (0xFF01, 0xFF5F), (0x1D400, 0
 _MEANT = "℃℉№℅℆℀℁"
 
 
+def _composed() -> Iterator[int]:
+    """Letters and signs of the alphabets that have a canonical decomposition."""
+    for low, high in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2126, 0x212C), (0x374, 0x388)):
+        yield from (c for c in range(low, high) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<"))
+
+
 def build_mapping() -> dict[str, str]:
     """Cluster to plain cluster. Raises ValueError if two rules disagree or a result would be mapped again."""
     mapping: dict[str, str] = {}
@@ -52,14 +58,30 @@ def build_mapping() -> dict[str, str]:
                 add(c, plain)
     for source, target in LOOKALIKES.items():
         add(source, target)
-    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
-    for letter in letters:
-        for accent in ACCENTS:
-            composed = unicodedata.normalize("NFC", letter + accent)
-            if len(composed) == 1:
-                add(letter + accent, composed)
-                for written in [chr(ord(letter) + WIDE)] * letter.isascii() + [k for k, v in LOOKALIKES.items() if v == letter]:
-                    add(written + accent, composed)
+    written: dict[str, list[str]] = defaultdict(list)
+    for source, target in mapping.items():
+        if len(source) == 1 and len(target) == 1 and target.isalpha():
+            written[target].append(source)
+    native: dict[str, str] = {}
+    for c in map(chr, _composed()):
+        plain = unicodedata.normalize("NFC", c)
+        if len(plain) == 1 and plain != c and c not in mapping:  # one character, listed twice
+            add(c, plain)
+        letter, *marks = unicodedata.normalize("NFD", c)
+        if plain != c or not marks:
+            continue
+        for order in set(permutations(marks)):
+            typed = letter + "".join(order)
+            if unicodedata.normalize("NFC", typed) != c:  # marks of one class keep their order
+                continue
+            for k in range(len(order)):  # any of the first marks may be in the letter already
+                head = unicodedata.normalize("NFC", typed[: 1 + k])
+                if len(head) == 1:
+                    native[head + typed[1 + k :]] = c
+            for first in written[letter]:
+                add(first + typed[1:], c)
+    for source, target in native.items():  # a look-alike with an accent is the letter that it looks like
+        mapping.setdefault(source, target)
     again = [s for s, t in mapping.items() if any(c in mapping for c in t)]
     if again:
         raise ValueError(f"targets that are mapped again: {again[:5]}")
@@ -72,24 +94,36 @@ class Transducer:
     def __init__(self) -> None:
         self.mapping = build_mapping()
         singles = "".join(sorted(c for c in self.mapping if len(c) == 1))
-        pairs = sorted({c[0] for c in self.mapping if len(c) == 2})
-        marks = "".join(sorted({c[1] for c in self.mapping if len(c) == 2}))
+        letters = "".join(sorted({c[0] for c in self.mapping if len(c) > 1}))
+        marks = "".join(sorted({m for c in self.mapping for m in c[1:]}))
         # A designation at the start of a word stands; a word written wholly in a look-alike's own script stands, too.
         self._pattern = re.compile(
-            rf"(?P<meant>(?<![^\W\d_])[{DESIGNATIONS}](?=[-‐‑－][^\W\d_]))|(?<![^\W\d_])(?P<own>[Ѐ-ӿ]{{2,}}|[Ͱ-Ͽ]{{2,}})(?![^\W\d_])"
-            rf"|[{re.escape(''.join(pairs))}][{marks}]|[{re.escape(singles)}]"
+            rf"(?P<meant>(?<![^\W\d_])[{DESIGNATIONS}](?=[-‐‑－][^\W\d_]))|(?<![^\W\d_])(?P<own>(?:[Ѐ-ӿ][{marks}]*){{2,}}|(?:[Ͱ-Ͽ][{marks}]*){{2,}})(?![^\W\d_])"
+            rf"|(?P<hangul>[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2])"
+            rf"|[{re.escape(letters)}][{marks}]+|[{re.escape(singles)}]"
         )
+        self._cluster = re.compile(rf"[{re.escape(letters)}][{marks}]+|.", re.S)
         self._alike = frozenset(LOOKALIKES)
         #: Characters without which a text can't change.
-        self.trigger = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in singles) + "".join(f"\\x{{{ord(c):X}}}" for c in marks) + "]"
+        self.trigger = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in singles + marks) + "\\x{1161}-\\x{1175}\\x{11a8}-\\x{11c2}]"
+
+    def _mapped(self, cluster: str) -> str:
+        """The longest beginning that has an entry, mapped; marks that go with no letter stay."""
+        for n in range(len(cluster), 0, -1):
+            if cluster[:n] in self.mapping:
+                return self.mapping[cluster[:n]] + cluster[n:]
+        return cluster
 
     def _one(self, match: re.Match[str]) -> str:
         text = match.group()
         if match.lastgroup == "meant":
             return text
-        if match.lastgroup == "own":  # look-alikes only: a Latin word in disguise; else a word of that script
-            return "".join(self.mapping[c] for c in text) if all(c in self._alike for c in text) else text
-        return self.mapping.get(text, text)
+        if match.lastgroup == "hangul":
+            return unicodedata.normalize("NFC", text)
+        if match.lastgroup == "own":  # look-alikes only: a Latin word in disguise; else a word of that script, with its accents composed
+            clusters = self._cluster.findall(text)
+            return "".join(map(self._mapped, clusters)) if all(c[0] in self._alike for c in clusters) else unicodedata.normalize("NFC", text)
+        return self._mapped(text)
 
     def apply(self, text: str) -> str:
         return self._pattern.sub(self._one, text)

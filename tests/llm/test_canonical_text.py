@@ -12,6 +12,7 @@ T = Transducer()
     [
         ("Ｍale", "Male"), ("５．６ ＋／－ １．２", "5.6 +/- 1.2"), ("p < 0.001", "p < 0.001"), ("Se​x﻿", "Sex"), ("P‐value", "P-value"),
         ("Café-au-lait", "Café-au-lait"), ("Сhаrасtеrіѕtіс", "Characteristic"), ("DΟSΕ", "DOSE"), ("Grοup Α (Ν = 5)", "Group A (N = 5)"), ("Stage Ⅲ", "Stage III"), ("ﬁbrillation", "fibrillation"),
+        ("e\u0302\u0301", "ế"), ("ê\u0301", "ế"), ("ơ\u0323", "ợ"), ("o\u0323\u031b", "ợ"), ("한", "한"), ("Å", "Å"), ("и\u0306", "й"), ("Сре\u0308дний", "Срёдний"), ("е\u0308", "ë"), ("ｅ\u0302\u0301", "ế"),
         ("ТС", "TC"), ("β‐blocker", "β-blocker"), ("Βeta-blockers", "Beta-blockers"), ("с̧", "ç"),
     ],
 )

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tabloom.llm import components
 from tabloom.llm.components import connected_groups, union_find
 
 
@@ -47,6 +48,14 @@ def test_long_chain_and_hub_in_bounded_tasks(spark):
     assert run(spark, chain + hub, edges_per_task=60) == brute(chain + hub)
 
 
+def test_same_groups_whatever_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(components, "REDUCE_EVERY", 7)
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(70)] + [(f"c{k:03}", f"c{k + 1:03}") for k in range(40)]
+    got = [run(spark, pairs, edges_per_task=n) for n in (10, 40, 2_000_000)]
+    assert got[0] == got[1] == got[2] == brute(pairs)
+
+
 def test_empty(spark):
     assert run(spark, [("x", "x")]) == set()
     df = spark.createDataFrame([], "l string, r string")
