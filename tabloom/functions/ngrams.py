@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -60,7 +60,10 @@ def aligned_similarity(left: Sequence[str], right: Sequence[str]) -> float:
 
 
 def grams(parts: Sequence[str]) -> Counter[str]:
-    """Bigrams and trigrams of each word with its ends marked, and short words whole."""
+    """Trigrams of each word with its ends marked, pairs of letters one or two places apart in either order, and short words whole.
+
+    The pairs stay where letters are swapped, put in or left out.
+    """
     out: Counter[str] = Counter()
     for word in parts:
         word = word.rstrip(".")
@@ -69,14 +72,24 @@ def grams(parts: Sequence[str]) -> Counter[str]:
         marked = f"^{word}$"
         if len(word) <= 3:
             out[marked] += 2
-        for n in (2, 3):
-            for k in range(len(marked) - n + 1):
-                out[marked[k : k + n]] += 1
+        for k in range(len(marked) - 2):
+            out[marked[k : k + 3]] += 1
+        for gap in (1, 2):
+            for a, b in zip(marked, marked[gap:]):
+                out[f"{a}~{b}" if a < b else f"{b}~{a}"] += 1
     return out
 
 
+#: Weighted cosine from which on a match is accepted, and from which on the exact check may accept it.
+ACCEPTED, CHECKED = 0.60, 0.25
+#: Least edit similarity of the exact check, for one word and for several; entries within CLOSE of the best cosine are told apart by it.
+ALIKE_WORD, ALIKE_WORDS, CLOSE = 0.66, 0.75, 0.10
+#: Least lead over the next other entry.
+LEAD = 0.008
+
+
 class NgramIndex:
-    """Entries (id, name) of one kind; ``best`` gives the closest id with score and margin to the next other id."""
+    """Inverted index of the entries (id, name) of one kind: postings (entry, weight) for each gram."""
 
     def __init__(self, entries: Sequence[tuple[int, str]]):
         self.ids = np.array([i for i, _ in entries], dtype=np.int64)
@@ -86,12 +99,13 @@ class NgramIndex:
         self.size = max(1, len(entries))
         self.weight = {g: math.log(1 + self.size / n) for g, n in spread.items()}
         self.unseen = math.log(1 + self.size / 0.5)
-        self.row = {g: k for k, g in enumerate(self.weight)}
-        self.matrix = np.zeros((len(self.row) + 1, max(1, len(entries))), dtype=np.float32)
+        postings: dict[str, tuple[list[int], list[float]]] = {g: ([], []) for g in spread}
         for e, c in enumerate(counts):
+            norm = math.sqrt(sum(n * self.weight[g] ** 2 for g, n in c.items())) or 1.0
             for g, n in c.items():
-                self.matrix[self.row[g], e] = math.sqrt(n) * self.weight[g]
-        self.matrix /= np.maximum(np.linalg.norm(self.matrix, axis=0), 1e-12)
+                postings[g][0].append(e)
+                postings[g][1].append(math.sqrt(n) * self.weight[g] / norm)
+        self.postings = {g: (np.array(e, dtype=np.int32), np.array(w, dtype=np.float32)) for g, (e, w) in postings.items()}
         self.begins: dict[str, set[int]] = defaultdict(set)
         for e, w in enumerate(self.words):
             for word in w:
@@ -102,17 +116,18 @@ class NgramIndex:
             self.exact.setdefault(tuple(sorted(w)), e)
 
     def cosines(self, parts: Sequence[str]) -> np.ndarray:
-        """Weighted cosine of the words with every entry."""
-        rows, weights, own = [], [], 0.0
+        """Weighted cosine of the words with every entry that shares a gram, 0 for the others."""
+        at, values, own = [], [], 0.0
         for g, n in grams(parts).items():
             w = math.sqrt(n) * self.weight.get(g, self.unseen)
             own += w * w
-            if g in self.row:
-                rows.append(self.row[g])
-                weights.append(w)
-        if not rows:
-            return np.zeros(len(self.ids), dtype=np.float32)
-        return np.asarray(weights, dtype=np.float32) @ self.matrix[rows] / math.sqrt(own)
+            if g in self.postings:
+                entries, weights = self.postings[g]
+                at.append(entries)
+                values.append(weights * w)
+        if not at:
+            return np.zeros(len(self.ids))
+        return np.bincount(np.concatenate(at), weights=np.concatenate(values), minlength=len(self.ids)) / math.sqrt(own)
 
     def _expanded(self, parts: Sequence[str], entry: int) -> list[str]:
         """The words with those cut short by a dot completed from the entry's words, each used once, in order."""
@@ -129,38 +144,42 @@ class NgramIndex:
             out.append(full or p)
         return out
 
-    def best(self, names: Sequence[Sequence[str]], search: Sequence[Sequence[str]], candidates: int = 5) -> tuple[int, float, float]:
-        """(id, score, margin) of one value; id 0 if there is no candidate. ``names`` may be listed as they are, the fullest first.
-
-        Else the candidates of highest cosine are scored by cosine and edit similarity; a fuller variant counts a little more.
+    def _contenders(self, parts: Sequence[str]) -> Iterator[tuple[int, float, list[str]]]:
+        """(entry, cosine, words as compared) of the entries near the best cosine; all that fit words cut short by a dot."""
+        scores = self.cosines(parts)
+        near = set(np.flatnonzero(scores >= max(0.15, scores.max(initial=0.0) - 1.5 * CLOSE)).tolist())
+        if not any(p.endswith(".") for p in parts):
+            yield from ((e, float(scores[e]), list(parts)) for e in near)
+            return
+        stems = [p[:-1] for p in parts if p.endswith(".") and len(p) > 1]
+        near.update(e for e, n in Counter(e for x in stems for e in self.begins.get(x, ())).items() if 2 * n > len(stems))
+        for e in near:
+            full = self._expanded(parts, e)
+            yield e, float(self.cosines(full)[e]) * (1.0 if full == list(parts) else 0.98), full
+
+    def best(self, names: Sequence[Sequence[str]], search: Sequence[Sequence[str]], accepted: float = ACCEPTED, lead: float = LEAD) -> tuple[int, float, float]:
+        """(id, weighted cosine, lead) of one value; id 0 if no entry is accepted.
+
+        ``names`` may be listed as they are, the fullest first: their cosine is 1 and needs no search. ``search``: the names
+        looked up, the fullest first; a fuller one counts a little more. A cosine of ``accepted`` decides; below it, and
+        between entries of nearly the same cosine, an exact check does: the edit similarity of the words.
         """
-        if not len(self.ids):
-            return 0, 0.0, 0.0
-        for order, parts in enumerate(names):  # a name as it is listed needs no search
+        for order, parts in enumerate(names):
             e = self.exact.get(tuple(sorted(parts)))
             if e is not None:
                 return int(self.ids[e]), 1.0 - 0.01 * order, 1.0
-        kept: dict[int, float] = {}
+        kept: dict[int, tuple[float, float, bool]] = {}
         for order, parts in enumerate(search):
-            cut = any(p.endswith(".") for p in parts)
-            scores = self.cosines(parts)
-            near = [int(e) for e in np.argsort(-scores)[:candidates] if scores[e] > 0.1]
-            if cut:
-                stems = [p[:-1] for p in parts if p.endswith(".") and len(p) > 1]
-                hits = Counter(e for x in stems for e in self.begins.get(x, ()))
-                near += [e for e, n in hits.items() if 2 * n > len(stems) and e not in near]
-            for e in near:
-                full, worth = list(parts), scores[e]
-                if cut:
-                    full = self._expanded(parts, e)
-                    worth = self.cosines(full)[e] * (1.0 if full == list(parts) else 0.98)
-                alike = aligned_similarity(full, self.words[e])
-                # a single word has few grams, and one typed wrong loses most of them
-                single = len(full) == len(self.words[e]) == 1
-                score = max(0.5 * worth + 0.5 * alike, alike - (0.06 if single else 0.17)) - 0.01 * order
-                kept[e] = max(kept.get(e, 0.0), float(score))
+            for e, cosine, full in self._contenders(parts):
+                i, new = int(self.ids[e]), (cosine - 0.01 * order, aligned_similarity(full, self.words[e]), len(full) == 1)
+                if i not in kept or new[0] + new[1] > kept[i][0] + kept[i][1]:
+                    kept[i] = new
         if not kept:
             return 0, 0.0, 0.0
-        top = max(kept, key=lambda e: kept[e])
-        other = max((s for e, s in kept.items() if self.ids[e] != self.ids[top]), default=0.0)
-        return int(self.ids[top]), kept[top], kept[top] - other
+        top = max(c for c, _, _ in kept.values())
+        close = {i: c + a for i, (c, a, _) in kept.items() if c >= top - CLOSE}
+        found = max(close, key=lambda i: close[i])
+        cosine, alike, single = kept[found]
+        ahead = close[found] - max((s for i, s in close.items() if i != found), default=0.0)
+        good = cosine >= accepted or cosine >= CHECKED and alike >= (ALIKE_WORD if single else ALIKE_WORDS)
+        return (found if good and ahead >= lead else 0), cosine, ahead

@@ -1,9 +1,11 @@
 """Quantities recorded in different units, brought to each quantity's common unit.
 
-A variable's unit is told by its hint, its label or its printed cells. What each of these says is a reading among
-the quantity's units; a calibrated forest of randomised trees, trained on the variables whose unit is recorded once
-and plainly, gives each unit's probability from magnitude, spread, quantity, source and what the same paper and table
-use elsewhere. Where evidence is missing, or sources disagree, it decides; unsure cases go to review.
+A variable's unit is told by its hint, its label or its printed cells. Each unit of the variable's quantity is a candidate;
+a calibrated forest of randomised trees, trained on the variables whose unit is recorded once and plainly, with some or all
+of what they record hidden or falsified, gives each candidate's probability from what is recorded, how far the magnitude
+and the spread in the common unit lie from what the label's entry usually shows, the style, the extractor, and what the same
+paper and table use elsewhere. It decides where evidence is missing or sources disagree and judges what is recorded; unsure
+cases go to review.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from tabloom.functions.ngrams import NgramIndex
 from tabloom.operators.packed import split_batch, split_values
 from tabloom.runtime import checkpoint, reference_rows
 
-#: Least score of a label's entry, labelled variables the forest is trained on, and the probability at which it decides.
-THRESHOLD, MARGIN, TRAINING_ROWS, CONFIDENT = 0.60, 0.004, 10_000, 0.9
+#: Labelled variables the forest is trained on, the probability at which it decides a missing unit, and below which a recorded one is in doubt.
+TRAINING_ROWS, CONFIDENT, DOUBT = 10_000, 0.9, 0.5
+#: Keys over which the sums of a paper or table are spread.
+SALT = 16
 _NUMBER = re.compile(r"[<>≤≥]?\s*(-?\d[\d,]*(?:\.\d+)?|\.\d+)")
 
 
@@ -98,7 +102,7 @@ def measured_variables(variables: DataFrame, canon: DataFrame, unit_ref: DataFra
     """Variables with a quantity: variable_id, table_id, row_start, style, canon_id, quantity, hint_unit, label_unit.
 
     One row per variable whose label means an entry with a quantity, whatever its type; copies count once.
-    The canonical list and the units are reference lists of checked size.
+    The canonical list and the units are reference lists of checked size. Each distinct label is looked up once.
     """
     entries = reference_rows(canon.where("label_kind = 'variable'").select("canon_id", "canon_text", "aliases", "quantity"))
     quantity = {r["canon_id"]: r["quantity"] for r in entries}
@@ -107,33 +111,32 @@ def measured_variables(variables: DataFrame, canon: DataFrame, unit_ref: DataFra
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = NgramIndex(named)
-        known: dict[str, int] = {}
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("row", "canon_id", "quantity", "hint_unit", "label_unit")}
-            for row, (label, hint) in enumerate(zip(batch.column("variable_label").to_pylist(), batch.column("units_hint").to_pylist())):
-                if not label or not label.strip():
-                    continue
-                if label not in known:
-                    entry, score, lead = index.best(*variants(label, U.is_unit))
-                    known[label] = entry if score >= THRESHOLD and lead >= MARGIN else 0
-                of = quantity.get(known[label])
+            rows: list[tuple] = []
+            for label in batch.column("variable_label").to_pylist():
+                entry = index.best(*variants(label, U.is_unit))[0] if label.strip() else 0
+                of = quantity.get(entry)
                 if of is not None and of in units:
-                    for name, value in zip(rows, (row, known[label], of, _unit_of(hint, units[of]), _label_unit(label, units[of]))):
-                        rows[name].append(value)
-            at = pa.array(rows["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(at) for n in ("variable_id", "table_id", "row_start", "style")), pa.array(rows["canon_id"], pa.int32()), pa.array(rows["quantity"], pa.string()), pa.array(rows["hint_unit"], pa.int32()), pa.array(rows["label_unit"], pa.int32())],
-                names=["variable_id", "table_id", "row_start", "style", "canon_id", "quantity", "hint_unit", "label_unit"],
-            )
+                    rows.append((label, entry, of, _label_unit(label, units[of])))
+            types = (pa.string(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["variable_label", "canon_id", "quantity", "label_unit"])
+
+    def hints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["variable_id", "table_id", "row_start", "style", "canon_id", "quantity", "label_unit"]
+        for batch in batches:
+            said = [_unit_of(h, units[of]) for h, of in zip(batch.column("units_hint").to_pylist(), batch.column("quantity").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(said, pa.int32())], names=[*kept, "hint_unit"])
 
-    # by label, so that each is looked up in one task; that also serves the removal of copies
     tasks = int(variables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = variables.select("variable_id", "table_id", "variable_label", "units_hint", "row_start", F.col("summary_style_hint").alias("style")).repartition(tasks, "variable_label").distinct()
-    return checkpoint(narrow.mapInArrow(labels, "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, hint_unit int, label_unit int"))
+    narrow = variables.where("variable_label is not null").select("variable_id", "table_id", "variable_label", "units_hint", "row_start", F.col("summary_style_hint").alias("style"))
+    found = narrow.select("variable_label").distinct().repartition(tasks, "variable_label").mapInArrow(labels, "variable_label string, canon_id int, quantity string, label_unit int")
+    joined = narrow.distinct().join(found.hint("merge"), "variable_label")
+    schema = "variable_id long, table_id string, row_start int, style string, canon_id int, quantity string, label_unit int, hint_unit int"
+    return checkpoint(joined.mapInArrow(hints, schema))
 
 
 def recorded_units(measured: DataFrame, cells: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """What is recorded of each measured variable: variable_id, table_id, canon_id, quantity, hint_unit, label_unit, cell_unit, magnitude, spread, style, extractor."""
+    """What is recorded of each measured variable: variable_id, table_id, canon_id, quantity, hint_unit, label_unit, cell_unit, magnitude, spread, style, extractor, paper."""
     units = _symbols(unit_ref)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,97 +148,198 @@ def recorded_units(measured: DataFrame, cells: DataFrame, unit_ref: DataFrame) -
                 spread.append(second)
                 unit.append(_unit_of(said, units[of]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("variable_id"), batch.column("extractor"), batch.column("col_idx"), pa.array(value, pa.float64()), pa.array(spread, pa.float64()), pa.array(unit, pa.int32())],
-                names=["variable_id", "extractor", "col_idx", "value", "spread", "unit"],
+                [batch.column("variable_id"), batch.column("extractor"), batch.column("paper"), batch.column("col_idx"), pa.array(value, pa.float64()), pa.array(spread, pa.float64()), pa.array(unit, pa.int32())],
+                names=["variable_id", "extractor", "paper", "col_idx", "value", "spread", "unit"],
             )
 
-    printed = cells.where("col_idx > 0").select("table_id", F.col("row_idx").alias("row_start"), "col_idx", "text", F.col("extractor_name").alias("extractor"))
+    paper = F.col("paper_id") if "paper_id" in cells.columns else F.lit(None).cast("string")
+    printed = cells.where("col_idx > 0").select("table_id", F.col("row_idx").alias("row_start"), "col_idx", "text", F.col("extractor_name").alias("extractor"), paper.alias("paper"))
     read_cells = (
         measured.select("variable_id", "table_id", "row_start", "quantity").join(printed, ["table_id", "row_start"])
-        .select("variable_id", "quantity", "extractor", "col_idx", "text")
-        .mapInArrow(read, "variable_id long, extractor string, col_idx int, value double, spread double, unit int")
+        .select("variable_id", "quantity", "extractor", "paper", "col_idx", "text")
+        .mapInArrow(read, "variable_id long, extractor string, paper string, col_idx int, value double, spread double, unit int")
     )
     # several values of a variable: the unit most of them print, the middle magnitude
     told = read_cells.groupBy("variable_id").agg(
-        F.mode("unit", True).alias("cell_unit"), F.percentile_approx("value", 0.5).alias("magnitude"), F.percentile_approx("spread", 0.5).alias("spread"), F.min("extractor").alias("extractor")
+        F.mode("unit", True).alias("cell_unit"), F.percentile_approx("value", 0.5).alias("magnitude"), F.percentile_approx("spread", 0.5).alias("spread"), F.min("extractor").alias("extractor"), F.min("paper").alias("paper")
     )
     return measured.join(told, "variable_id", "left").drop("row_start")
 
 
 def _features(df: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """Numbers for the forest, with the share of common units that the same table and paper record elsewhere."""
+    """What is recorded, with the share of common units that the same table and paper record elsewhere."""
     common = F.broadcast(unit_ref.where("is_common").select(F.col("unit_id").alias("plain"), F.lit(1.0).alias("is_plain")))
-    paper = F.regexp_extract("table_id", r"^(.*?)-p\d+-t\d+$", 1)
-    df = df.withColumn("paper", paper).withColumn("plain", F.coalesce("hint_unit", "label_unit", "cell_unit")).join(common, "plain", "left")
+    df = df.withColumn("plain", F.coalesce("hint_unit", "label_unit", "cell_unit")).join(common, "plain", "left")
     df = df.withColumn("known", F.col("plain").isNotNull().cast("double")).withColumn("is_plain", F.coalesce("is_plain", F.lit(0.0)))
+    df = df.withColumn("salt", F.pmod(F.xxhash64("variable_id"), F.lit(SALT))).withColumn("paper", F.coalesce("paper", F.concat(F.lit("\x00"), "table_id")))
     for name, key in (("table", "table_id"), ("paper", "paper")):
+        # one paper may hold a large share of all rows: its sum is spread, not its rows gathered
         sums = df.groupBy(key).agg(F.sum("known").alias(f"{name}_known"), F.sum("is_plain").alias(f"{name}_plain"))
-        df = df.join(sums, key, "left")
+        spread = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        df = df.join(spread.hint("merge"), [key, "salt"], "left")
         rest = F.col(f"{name}_known") - F.col("known")
         df = df.withColumn(f"{name}_share", F.when(rest > 0, (F.col(f"{name}_plain") - F.col("is_plain")) / rest).otherwise(0.5))
     return df.select(
-        "variable_id", "table_id", "canon_id", "quantity", "hint_unit", "label_unit", "cell_unit", "magnitude",
-        F.log10(F.greatest(F.abs("magnitude"), F.lit(1e-6))).alias("log_magnitude"),
-        F.when((F.col("spread") > 0) & (F.col("magnitude") > 0), F.log10(F.col("spread") / F.col("magnitude"))).otherwise(0.0).alias("log_spread"),
-        "table_share", "paper_share",
+        "variable_id", "table_id", "canon_id", "quantity", "hint_unit", "label_unit", "cell_unit", "magnitude", "spread", "table_share", "paper_share",
         F.pmod(F.hash(F.coalesce("style", F.lit(""))), F.lit(64)).cast("double").alias("style_code"),
         F.pmod(F.hash(F.coalesce("extractor", F.lit(""))), F.lit(64)).cast("double").alias("extractor_code"),
     )
 
 
-_INPUTS = ["log_magnitude", "log_spread", "table_share", "paper_share", "style_code", "extractor_code"]
+_SAID = ["hint_unit", "label_unit", "cell_unit"]
+
+
+class UnitModel:
+    """Probability of each unit of a variable's quantity. ``units``: quantity to (unit_id, factor, shift, is_common) each."""
+
+    def __init__(self, sample: pd.DataFrame, units: dict[str, list[tuple[int, float, float, bool]]]):
+        self.units = units
+        self.typical: dict[int, tuple[float, float]] = {}
+        self.usual: dict[tuple[int, int], float] = {}
+        self.forest = None
+        if not len(sample):
+            return
+        known = {u: (f, s) for rows in units.values() for u, f, s, _ in rows}
+        factor, shift = (sample["unit"].map({u: x[k] for u, x in known.items()}).to_numpy(float) for k in (0, 1))
+        middle = pd.DataFrame({"canon_id": sample["canon_id"], "size": self._log(sample["magnitude"].to_numpy(float) * factor + shift), "spread": self._log(sample["spread"].to_numpy(float) * factor)})
+        self.typical = {int(k): (r["size"], r["spread"]) for k, r in middle.groupby("canon_id").median().iterrows()}
+        counts = sample.groupby(["canon_id", "unit"]).size()
+        totals = sample.groupby("canon_id").size()
+        self.usual = {(int(c), int(u)): n / totals[c] for (c, u), n in counts.items()}
+        rng = np.random.default_rng(11)
+        shown = []
+        for share_hidden, falsified in ((0.0, False), (1.0, False), (0.5, False), (0.0, True)):
+            part = sample.copy()
+            for name in _SAID:
+                part.loc[rng.random(len(part)) < share_hidden, name] = np.nan
+            if falsified:  # one source is wrong
+                wrong = pd.Series([rng.choice([u for u, *_ in units[of]]) for of in part["quantity"]], index=part.index)
+                which = rng.integers(0, 3, len(part))
+                for k, name in enumerate(_SAID):
+                    part.loc[which == k, name] = wrong[which == k]
+            shown.append(part)
+        rows = pd.concat(shown, ignore_index=True)
+        x, owner, unit = self.inputs(rows)
+        y = (unit == rows["unit"].to_numpy(int)[owner]).astype(int)
+        if 0 < y.sum() < len(y):
+            self.forest = CalibratedForest.fit(x, y, rows["variable_id"].to_numpy()[owner], depth=9, n_trees=32)
+
+    @staticmethod
+    def _log(values: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(np.abs(values), 1e-6))
+
+    def inputs(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of each candidate, the row it belongs to, and its unit."""
+        candidates = [self.units.get(of, []) for of in frame["quantity"]]
+        size = np.array([len(c) for c in candidates])
+        owner = np.repeat(np.arange(len(frame)), size)
+        unit, factor, shift, common = (np.array([u[k] for c in candidates for u in c], dtype=float) for k in range(4))
+        canon = frame["canon_id"].to_numpy(int)[owner]
+        typical = np.array([self.typical.get(c, (np.nan, np.nan)) for c in frame["canon_id"]], dtype=float).reshape(-1, 2)[owner]
+        columns = []
+        for name in _SAID:
+            said = frame[name].to_numpy(float)[owner]
+            columns.append(np.where(np.isnan(said), 0.0, np.where(said == unit, 1.0, -1.0)))
+        magnitude, spread = frame["magnitude"].to_numpy(float)[owner], frame["spread"].to_numpy(float)[owner]
+        for value, usual in ((magnitude * factor + shift, typical[:, 0]), (spread * factor, typical[:, 1])):
+            away = self._log(value) - usual
+            columns += [np.nan_to_num(away), np.nan_to_num(np.abs(away)), np.isnan(away).astype(float)]
+        for name in ("table_share", "paper_share"):
+            share = frame[name].to_numpy(float)[owner]
+            columns.append(np.where(common == 1.0, share, 1.0 - share))
+        columns += [common, np.array([self.usual.get((c, int(u)), 0.0) for c, u in zip(canon, unit)])]
+        columns += [frame["style_code"].to_numpy(float)[owner], frame["extractor_code"].to_numpy(float)[owner]]
+        return np.column_stack(columns) if len(owner) else np.zeros((0, 15)), owner, unit.astype(int)
+
+    def chances(self, frame: pd.DataFrame) -> list[dict[int, float]]:
+        """For each row its candidates' probabilities, adding up to 1; empty without a model or for a quantity without units."""
+        out: list[dict[int, float]] = [{} for _ in range(len(frame))]
+        if self.forest is None or not len(frame):
+            return out
+        x, owner, unit = self.inputs(frame)
+        if len(owner):
+            p = self.forest.predict(x)[:, list(self.forest.classes).index(1)]
+            p = p / np.bincount(owner, weights=p, minlength=len(frame))[owner]
+            for o, u, v in zip(owner.tolist(), unit.tolist(), p.tolist()):
+                out[o][u] = v
+        return out
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """Variables with a magnitude whose recorded unit is one, as ``unit``."""
+    plain = F.coalesce("hint_unit", "label_unit", "cell_unit")
+    agreed = plain.isNotNull() & (F.coalesce("hint_unit", plain) == plain) & (F.coalesce("label_unit", plain) == plain) & (F.coalesce("cell_unit", plain) == plain)
+    return rows.where(agreed & F.col("magnitude").isNotNull()).withColumn("unit", plain)
+
+
+def _sample(rows: DataFrame, size: int) -> pd.DataFrame:
+    """About ``size`` rows or all if there are fewer, drawn by a hash of the id, so that no task sends more than its share."""
+    share = size / max(1, rows.count())
+    drawn = rows.where(F.pmod(F.xxhash64("variable_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    return drawn.limit(2 * size).toPandas().sort_values("variable_id", ignore_index=True)
+
+
+def _known_units(unit_ref: DataFrame) -> dict[str, list[tuple[int, float, float, bool]]]:
+    out: dict[str, list[tuple[int, float, float, bool]]] = {}
+    for r in sorted(reference_rows(unit_ref.select("unit_id", "quantity", "factor", "shift", "is_common")), key=lambda r: r["unit_id"]):
+        if r["quantity"] is not None:
+            out.setdefault(r["quantity"], []).append((r["unit_id"], r["factor"], r["shift"], r["is_common"]))
+    return out
 
 
 def assign_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_ref: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT, measured: DataFrame | None = None) -> DataFrame:
-    """One row per measured variable: variable_id, table_id, canon_id, quantity, unit_id, source, probability.
+    """One row per measured variable: variable_id, table_id, canon_id, quantity, unit_id, source, probability, magnitude.
 
-    source: ``recorded`` if all that is recorded agrees, ``conflict`` if recorded units differ and the forest picked
-    among them, ``predicted`` if none is recorded and the forest is sure, else ``review`` with unit_id null. The forest is
-    fitted on at most ``training_rows`` variables with one plain unit, drawn by a hash of their id; it is applied to all.
-    Variables without magnitude or quantity model can't be predicted. Null labels and labels without quantity give no row.
-    ``measured``: what measured_variables gave, if that is known.
+    source: ``recorded`` if all that is recorded agrees and the forest finds it likely, ``doubtful`` if it doesn't,
+    ``conflict`` if recorded units differ and the forest picked among them, ``predicted`` if none is recorded and the forest
+    is sure, else ``review`` with unit_id null. The forest is fitted on about ``training_rows`` variables with one plain
+    unit, drawn by a hash of their id; it is applied to all. Without labelled variables what is recorded stands, the hint
+    first. Null labels and labels without quantity give no row. ``measured``: what measured_variables gave, if that is known.
     """
     measured = measured_variables(variables, canon, unit_ref) if measured is None else measured
-    rows = checkpoint(_features(checkpoint(recorded_units(measured, cells, unit_ref)), unit_ref))
-    plain = F.coalesce("hint_unit", "label_unit", "cell_unit")
-    agreed = plain.isNotNull() & (F.coalesce("hint_unit", plain) == plain) & (F.coalesce("label_unit", plain) == plain) & (F.coalesce("cell_unit", plain) == plain)
-    labelled = rows.where(agreed & F.col("magnitude").isNotNull())
-    sample = labelled.orderBy(F.xxhash64("variable_id"), "variable_id").limit(training_rows).select("variable_id", "quantity", plain.alias("unit"), *_INPUTS).toPandas()
-    models = {of: CalibratedForest.fit(part[_INPUTS].to_numpy(float), part["unit"].to_numpy(int), part["variable_id"].to_numpy()) for of, part in sample.groupby("quantity")}
+    rows = checkpoint(_features(recorded_units(measured, cells, unit_ref), unit_ref))
+    model = UnitModel(_sample(_labelled(rows), training_rows), _known_units(unit_ref))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            said = frame[["hint_unit", "label_unit", "cell_unit"]].to_numpy(float)
-            unit, probability = np.full(len(frame), np.nan), np.full(len(frame), np.nan)
-            source = np.full(len(frame), "review", dtype=object)
-            low = np.nanmin(np.where(np.isnan(said), np.inf, said), axis=1, initial=np.inf)
-            high = np.nanmax(np.where(np.isnan(said), -np.inf, said), axis=1, initial=-np.inf)
-            one, several = low == high, low < high
-            unit[one], source[one], probability[one] = low[one], "recorded", 1.0
-            for of, part in frame.groupby("quantity"):
-                model = models.get(of)
-                at = frame.index.get_indexer(part.index)
-                at = at[~one[at]]
-                if not len(at):
-                    continue
-                measured = ~np.isnan(frame["magnitude"].to_numpy(float)[at])
-                chances = model.predict(frame[_INPUTS].fillna(0.0).to_numpy(float)[at]) if model else None
-                for k, i in enumerate(at):
-                    options = [int(u) for u in said[i] if not np.isnan(u)]
-                    if several[i]:  # the hint goes first where the forest can't tell
-                        weight = [chances[k][model.classes.tolist().index(u)] if model and measured[k] and u in model.classes else 0.0 for u in options]
-                        best = int(np.argmax(weight))
-                        unit[i], source[i], probability[i] = options[best], "conflict", weight[best] / max(sum({u: w for u, w in zip(options, weight)}.values()), 1e-9) if sum(weight) else np.nan
-                    elif model and measured[k]:
-                        best = int(np.argmax(chances[k]))
-                        probability[i] = chances[k][best]
-                        if probability[i] >= confident:
-                            unit[i], source[i] = model.classes[best], "predicted"
-            yield pd.DataFrame({**{c: frame[c] for c in ("variable_id", "table_id", "canon_id", "quantity")}, "unit_id": pd.array(np.where(np.isnan(unit), None, unit), dtype="Int32"), "source": source, "probability": probability, "magnitude": frame["magnitude"]})
+            unit, source, probability = [], [], []
+            for said, chances, magnitude in zip(frame[_SAID].to_numpy(float).tolist(), model.chances(frame), frame["magnitude"].tolist()):
+                told = dict.fromkeys(int(u) for u in said if u == u)
+                options = told or chances
+                best = max(options, key=lambda u: chances.get(u, 0.0), default=None)
+                chance = chances.get(best)
+                if told:
+                    kind = "conflict" if len(told) > 1 else "recorded" if chance is None or chance >= DOUBT else "doubtful"
+                else:
+                    kind = "predicted" if chance is not None and magnitude == magnitude and chance >= confident else "review"
+                unit.append(None if kind == "review" else best)
+                source.append(kind)
+                probability.append(chance)
+            yield pd.DataFrame({**{c: frame[c] for c in ("variable_id", "table_id", "canon_id", "quantity")}, "unit_id": pd.array(unit, dtype="Int32"), "source": source, "probability": pd.array(probability, dtype="Float64"), "magnitude": frame["magnitude"]})
 
     return rows.mapInPandas(decide, "variable_id long, table_id string, canon_id int, quantity string, unit_id int, source string, probability double, magnitude double")
 
 
+def hidden_unit_report(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_ref: DataFrame, training_rows: int = TRAINING_ROWS, confident: float = CONFIDENT) -> DataFrame:
+    """How well missing units are predicted: quantity, n, n_confident, n_right, mean_probability.
+
+    Variables with one plainly recorded unit whose id is divisible by 5 are held out of training and judged with all that
+    they record hidden. n_right and mean_probability (of the confident ones) agree if the forest is calibrated.
+    """
+    rows = checkpoint(_features(recorded_units(measured_variables(variables, canon, unit_ref), cells, unit_ref), unit_ref))
+    labelled = _labelled(rows)
+    model = UnitModel(_sample(labelled.where("variable_id % 5 <> 0"), training_rows), _known_units(unit_ref))
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            best = [max(c.items(), key=lambda x: x[1], default=(None, 0.0)) for c in model.chances(frame.assign(**dict.fromkeys(_SAID, np.nan)))]
+            yield pd.DataFrame({"quantity": frame["quantity"], "probability": [p for _, p in best], "is_right": [int(u == t) for (u, _), t in zip(best, frame["unit"])]})
+
+    sure = F.col("probability") >= confident
+    judged = labelled.where("variable_id % 5 = 0").mapInPandas(judge, "quantity string, probability double, is_right int")
+    return judged.groupBy("quantity").agg(F.count("*").alias("n"), F.count(F.when(sure, 1)).alias("n_confident"), F.sum(F.when(sure, F.col("is_right")).otherwise(0)).alias("n_right"), F.round(F.avg(F.when(sure, F.col("probability"))), 4).alias("mean_probability"))
+
+
 def common_values(assigned: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """The assigned variables with their middle value in the quantity's common unit: adds common_value."""
     factors = F.broadcast(unit_ref.select("unit_id", "factor", "shift"))

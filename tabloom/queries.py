@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.nested import boundary_nodes, grid_cells
 from tabloom.operators.packed import split_packed
 from tabloom.operators.references import find_orphans
-from tabloom.operators.units import assign_units, common_values, converted_values, measured_variables, printed_values
+from tabloom.operators.units import assign_units, common_values, converted_values, hidden_unit_report, measured_variables, printed_values
 from tabloom.plans import context_queries, grid_queries, note_queries, paper_queries, quality_queries
 from tabloom.runtime import reference_rows, table
 
@@ -72,7 +72,7 @@ def _p6_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     uncommon = F.broadcast(table(spark, d, "unit_ref").where("not is_common").select("unit_id"))
-    recorded = _p6_assigned(spark, d).where(F.col("source").isin("recorded", "conflict"))
+    recorded = _p6_assigned(spark, d).where(F.col("source").isin("recorded", "doubtful", "conflict"))
     return recorded.join(uncommon, "unit_id", "left_semi").select("variable_id", "unit_id").distinct()
 
 
@@ -92,8 +92,13 @@ def p6_medians(spark: SparkSession, d: str) -> DataFrame:
     return values.select("variable_id", "quantity", "unit_id", "source", F.round("probability", 6).alias("probability"), "common_value")
 
 
+def p6_hidden_units(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out variables whose recorded unit is hidden: how many the forest is sure of, and right about, by quantity."""
+    return hidden_unit_report(*(table(spark, d, n) for n in ("def_variable", "ext_cell", "canon_label", "unit_ref")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules, p6_found, p6_values, p6_medians)
+    f.__name__: f for f in (p1_found, p1_orphans_by_paper_month, p3_found, p3_values_per_field, p4_found, p4_grid_cells, p4_rules, p6_found, p6_values, p6_medians, p6_hidden_units)
 }
 
 _P1 = """

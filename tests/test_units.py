@@ -43,14 +43,15 @@ def test_recorded_conflicting_and_predicted(spark):
         pounds = n % 2
         variables.append((n, f"p-p1-t{n}", "Body weight, lbs" if pounds else "Body weight (kg)", "continuous", 1, None, "mean_sd"))
         cells.append((f"p-p1-t{n}", 1, 1, f"{170 + n % 20 if pounds else 70 + n % 10}.0 (9.5)", "e"))
-    more = [(900, "Weight", "pounds", "80 (9)"), (901, "Weight", None, "175 lb (9)"), (902, "Weight", None, "175 (9)"), (903, "Weight [kg]", "lb", "71 (9)"), (904, "Sex", "lb", "5"), (905, None, "lb", "5"), (906, " ", "lb", "5"), (907, "Weight", None, None)]
+    more = [(900, "Weight", "pounds", "80 (9)"), (901, "Weight", None, "175 lb (9)"), (902, "Weight", None, "175 (9)"), (903, "Weight [kg]", "lb", "71 (9)"), (904, "Sex", "lb", "5"), (905, None, "lb", "5"), (906, " ", "lb", "5"), (907, "Weight", None, None), (908, "Weight", "pounds", "178 (9)")]
     for n, label, hint, text in more:
         variables.append((n, f"q-p1-t{n}", label, None, 1, hint, None))
         cells.append((f"q-p1-t{n}", 1, 1, text, None))
-    variables += variables[-3:]
+    variables += variables[-4:-1]
     args = tables(spark, variables, cells)
     out = {r["variable_id"]: r for r in common_values(assign_units(*args), args[3]).collect()}
-    assert (out[900]["unit_id"], out[900]["source"]) == (9, "recorded")
+    assert (out[900]["unit_id"], out[900]["source"]) == (9, "doubtful")  # printed like kilograms
+    assert (out[908]["unit_id"], out[908]["source"]) == (9, "recorded")
     assert (out[901]["unit_id"], out[901]["source"]) == (9, "recorded")
     assert abs(out[901]["common_value"] - 175 * 0.45359237) < 1e-9
     assert (out[902]["unit_id"], out[902]["source"]) == (9, "predicted")
