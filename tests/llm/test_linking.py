@@ -57,3 +57,26 @@ def test_cosine_against_brute_force():
             v = {g: n**0.5 * index.weight[g] for g, n in grams(words(name)).items()}
             want = sum(q[g] * v.get(g, 0) for g in q) / (sum(x * x for x in q.values()) * sum(x * x for x in v.values())) ** 0.5
             assert abs(got[e] - want) < 1e-4
+
+
+def test_no_other_entry_beats_the_candidates():
+    from tabloom.functions.ngrams import words
+
+    index = NgramIndex([(i, bare(n)) for i, _, t, a in CANON for n in [t, *(a or [])]])
+    rng, hit, n = random.Random(4), 0, 0
+    for _, _, t, _ in CANON:
+        for _ in range(20):
+            k = rng.randrange(1, len(t) - 1)
+            typed = words(bare(t[:k] + rng.choice(["", "x", t[k] * 2, t[k + 1] + t[k]]) + t[k + 1 :]))
+            true = max(range(len(index.words)), key=lambda e: aligned_similarity(typed, index.words[e]))
+            hit += true in {e for e, _, _ in index._contenders(typed)}
+            n += 1
+    assert hit >= 0.97 * n
+
+
+def test_index_of_many_entries_is_sparse():
+    rng = random.Random(1)
+    names = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10))) for _ in range(3)) for _ in range(5000)]
+    index = NgramIndex(list(enumerate(names, 1)))
+    assert sum(e.nbytes + w.nbytes for e, w in index.postings.values()) < 5_000_000
+    assert index.best([], [tuple(names[4321].replace("a", "", 1).split())])[0] == 4322
