@@ -25,8 +25,6 @@ DECIMAL = rf"(?i)({SIGNED}){MARKS}"
 # What stands for a missing value.
 MISSING = ["-", "--", "na", "n/a", "n.a.", "not available", "not estimable", "not estimated"]
 
-COMPONENT = "struct<kind:string,value_num:double,value_text:string,relation:string,confidence:double>"
-
 
 def _full(text: Column, pattern: str) -> Column:
     flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
@@ -37,12 +35,16 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
-def _component(kind: Column | str, num: Column | None = None, text: Column | None = None, relation: Column | None = None, confidence: float | Column = 0.0) -> Column:
+def _component(kind: Column | str, num: Column | None = None, text: Column | None = None, fragment: Column | None = None, relation: Column | None = None, confidence: float | Column = 0.0) -> Column:
+    """A typed part; a number that has no other relation is equal to what it stands for."""
     none = F.lit(None)
+    if num is not None and relation is None:
+        relation = F.lit("=")
     return F.struct(
         (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
         (none.cast("double") if num is None else num).alias("value_num"),
         (none.cast("string") if text is None else text).alias("value_text"),
+        (none.cast("string") if fragment is None else fragment).alias("raw_fragment"),
         (none.cast("string") if relation is None else relation).alias("relation"),
         (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"),
     )
@@ -66,6 +68,10 @@ def parse_pattern(clean: Column) -> Column:
     )
 
 
+# Names of the summary styles whose companion is a standard deviation or a standard error.
+SD_HINTS = ["mean_sd", "mean_s_d", "mean_standard_deviation"]
+SE_HINTS = ["estimate_se", "mean_se", "estimate_standard_error", "mean_standard_error"]
+
 #: The numbers of a value in order; a rule that was met says which part each is.
 NUMBERS = r"(-?(?:[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)"
 
@@ -78,21 +84,25 @@ def with_components(df: DataFrame, raw: str, clean: str, style: str | None = Non
     """
     c, pattern = F.col(clean), F.col("pattern")
     df = df.withColumn("pattern", parse_pattern(c)).withColumn("_n", F.regexp_extract_all(c, F.lit(NUMBERS), F.lit(1)))
-    first, third = number(F.get("_n", F.lit(0))), number(F.get("_n", F.lit(2)))
-    second = F.when(pattern == "numeric_spaced_six_uncertainty", third).otherwise(number(F.get("_n", F.lit(1))))
-    hint = F.col(style) if style else F.lit(None).cast("string")
-    primary = F.when(hint.isin("mean_sd", "mean_se"), "mean").otherwise("estimate")
-    spread = F.when(hint == "mean_sd", "sd").when(hint.isin("mean_se", "estimate_se"), "se").otherwise("unknown")
-    known = F.when(hint.isin("mean_sd", "mean_se", "estimate_se"), 0.88).otherwise(0.75)
+    one, two, three = (F.get("_n", F.lit(k)) for k in range(3))
+    two = F.when(pattern == "numeric_spaced_six_uncertainty", three).otherwise(two)
+    first, second, third = number(one), number(two), number(three)
+    hint = F.replace(F.lower(F.trim(F.col(style))), F.lit("-"), F.lit("_")) if style else F.lit(None).cast("string")
+    sd, se = hint.isin(SD_HINTS), hint.isin(SE_HINTS)
+    primary = F.when(sd, "mean").otherwise("estimate")
+    spread = F.when(sd, "sd").when(se, "se").otherwise("unknown")
+    sure = F.when(_full(c, FAMILY["mean_sd"]), 0.9).otherwise(0.88)
+    relation = F.coalesce(F.nullif(F.regexp_extract(c, "(<=|>=|<|>)", 1), F.lit("")), F.lit("="))
+    percent = F.concat(two, F.regexp_extract(c, r"( *%) *\)", 1))
     components = (
-        F.when(pattern == "missing", F.array(_component("missing", text=c, confidence=0.95)))
-        .when(pattern == "count_parenthesized_percent", F.array(_component("count", first, confidence=0.96), _component("percent", second, confidence=0.96)))
-        .when(pattern == "median_iqr", F.array(_component("median", first, confidence=0.94), _component("q1", second, confidence=0.94), _component("q3", third, confidence=0.94)))
-        .when(pattern.startswith("numeric_") & (pattern != "numeric_scalar"), F.array(_component(primary, first, confidence=0.88), _component(spread, second, confidence=known)))
-        .when(pattern == "p_value", F.array(_component("p_value", first, relation=F.coalesce(F.nullif(F.regexp_extract(c, "(<=|>=|<|>)", 1), F.lit("")), F.lit("=")), confidence=0.85)))
-        .when(pattern == "integer", F.array(_component("count", first, confidence=0.9)))
-        .when(pattern == "numeric_scalar", F.array(_component("estimate", first, confidence=0.75)))
-        .when(pattern == "free_text", F.array(_component("text", text=F.col(raw), confidence=0.4)))
+        F.when(pattern == "missing", F.array(_component("missing", fragment=c, confidence=0.95)))
+        .when(pattern == "count_parenthesized_percent", F.array(_component("count", first, fragment=one, confidence=0.96), _component("percent", second, fragment=percent, confidence=0.96)))
+        .when(pattern == "median_iqr", F.array(*[_component(k, n, fragment=f, confidence=0.94) for k, n, f in (("median", first, one), ("q1", second, two), ("q3", third, three))]))
+        .when(pattern.startswith("numeric_") & (pattern != "numeric_scalar"), F.array(_component(primary, first, fragment=one, confidence=sure), _component(spread, second, fragment=two, confidence=F.when(sd | se, sure).otherwise(0.75))))
+        .when(pattern == "p_value", F.array(_component("p_value", first, fragment=c, relation=relation, confidence=F.when(c.rlike("^[<>]"), 0.98).otherwise(0.85))))
+        .when(pattern == "integer", F.array(_component("count", first, fragment=one, confidence=0.9)))
+        .when(pattern == "numeric_scalar", F.array(_component("estimate", first, fragment=one, confidence=0.75)))
+        .when(pattern == "free_text", F.array(_component("text", text=F.col(raw), fragment=F.col(raw), confidence=0.4)))
     )
     return df.withColumn("components", components).drop("_n")
 
@@ -117,39 +127,3 @@ FAMILY = {
     "mean_sd": rf"{SIGNED}(?: *\( *{SIGNED} *\)| *± *{SIGNED}| +6 +{SIGNED}){MARKS}",
     "n_only": INTEGER,
 }
-
-
-# The same grammar as SQL text.
-def sql_full(x: str, pattern: str) -> str:
-    return f"regexp_full_match({x}, '{pattern}')"
-
-
-def sql_pattern(c: str) -> str:
-    """``c`` is a cleaned column."""
-    missing = ", ".join(f"'{m}'" for m in MISSING)
-    rules = [
-        (f"{sql_full(c, COUNT_PERCENT)} or {sql_full(c, DECIMAL_PERCENT)}", "count_parenthesized_percent"),
-        (sql_full(c, MEDIAN_RANGE), "median_iqr"),
-        (sql_full(c, BRACKETED), "numeric_parenthesized_uncertainty"),
-        (sql_full(c, PLUS_MINUS), "numeric_plusminus_uncertainty"),
-        (sql_full(c, SPACED_SIX), "numeric_spaced_six_uncertainty"),
-        (sql_full(c, DASHED), "numeric_dash_uncertainty"),
-        (sql_full(c, P_VALUE), "p_value"),
-        (sql_full(c, WHOLE), "integer"),
-        (sql_full(c, DECIMAL), "numeric_scalar"),
-    ]
-    return f"case when {c} is null then null when lower({c}) in ({missing}) then 'missing' " + " ".join(f"when {r} then '{k}'" for r, k in rules) + " else 'free_text' end"
-
-
-def sql_part(c: str, pattern: str, group: int) -> str:
-    body = pattern.removeprefix("(?i)")
-    return f"try_cast(replace(regexp_extract({c}, '(?i)^(?:{body})$', {group}), ',', '') as double)"
-
-
-def sql_family(c: str) -> str:
-    bare = f"trim(regexp_replace(lower({c}), '^p *[=:]? *', ''))"
-    return (
-        f"case when {sql_full(bare, FAMILY['median_iqr'])} then 'median_iqr' when {sql_full(bare, FAMILY['count_pct'])} then 'count_pct'"
-        f" when {sql_full(bare, FAMILY['p_value'])} then 'p_value' when {sql_full(c, FAMILY['mean_sd'])} then 'mean_sd'"
-        f" when {sql_full(c, FAMILY['n_only'])} then 'n_only' else 'unknown' end"
-    )

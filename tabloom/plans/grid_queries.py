@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import text as T
 from tabloom.functions import values as V
 from tabloom.operators import grid as G
+from tabloom.plans import value_sql as Q
 from tabloom.runtime import table
 
 
@@ -68,7 +69,7 @@ def val1_components(s: SparkSession, d: str) -> DataFrame:
     """Each distinct raw value with its pattern and numbers."""
     raw = table(s, d, "cell_value").select("raw_value").where("raw_value is not null").distinct().withColumn("clean", T.clean_text(F.col("raw_value")))
     parts = V.with_components(raw, "raw_value", "clean")
-    return parts.select("raw_value", "pattern", F.posexplode_outer("components").alias("ordinal", "p")).select("raw_value", "pattern", "ordinal", "p.kind", "p.value_num", "p.confidence")
+    return parts.select("raw_value", "pattern", F.posexplode_outer("components").alias("ordinal", "p")).select("raw_value", "pattern", "ordinal", "p.kind", "p.value_num", "p.relation", "p.confidence")
 
 
 def val3_parsed_cells(s: SparkSession, d: str) -> DataFrame:
@@ -171,7 +172,7 @@ roles as (
     try_cast(replace(regexp_extract(header, '(?i)\\bn *= *([0-9][0-9,]*)', 1), ',', '') as integer) as denominator
   from matched),
 parsed as (
-  select c.table_id, c.row_idx, c.col_idx, c.text, c.clean, {V.sql_pattern('c.clean')} as pattern
+  select c.table_id, c.row_idx, c.col_idx, c.text, c.clean, {Q.pattern('c.clean')} as pattern
   from c join starts using (table_id) where c.row_idx >= body_start and c.col_idx > 0 and c.clean <> ''),
 keys as (
   select distinct table_id, row_start as row_idx, variable_id, cast(null as bigint) as level_id, summary_style_hint from def_variable
@@ -182,31 +183,8 @@ records as (
   select p.*, k.variable_id, k.level_id, k.summary_style_hint, r.role, r.denominator
   from parsed p join keys k using (table_id, row_idx) left join roles r on r.table_id = p.table_id and r.col_idx = p.col_idx)
 """
-_PERCENT = f"case when regexp_full_match(clean, '{V.COUNT_PERCENT}') then {V.sql_part('clean', V.COUNT_PERCENT, 2)} else {V.sql_part('clean', V.DECIMAL_PERCENT, 2)} end"
-_COUNT = f"case when pattern = 'integer' then {V.sql_part('clean', V.WHOLE, 1)} when pattern <> 'count_parenthesized_percent' then null when regexp_full_match(clean, '{V.COUNT_PERCENT}') then {V.sql_part('clean', V.COUNT_PERCENT, 1)} else {V.sql_part('clean', V.DECIMAL_PERCENT, 1)} end"
-_PAIRS = {"numeric_parenthesized_uncertainty": V.BRACKETED, "numeric_plusminus_uncertainty": V.PLUS_MINUS, "numeric_spaced_six_uncertainty": V.SPACED_SIX, "numeric_dash_uncertainty": V.DASHED}
-_FIRST = (
-    f"case when pattern = 'count_parenthesized_percent' or pattern = 'integer' then {_COUNT} when pattern = 'median_iqr' then {V.sql_part('clean', V.MEDIAN_RANGE, 1)} "
-    + " ".join(f"when pattern = '{p}' then {V.sql_part('clean', r, 1)}" for p, r in _PAIRS.items())
-    + f" when pattern = 'p_value' then {V.sql_part('clean', V.P_VALUE, 2)} when pattern = 'numeric_scalar' then {V.sql_part('clean', V.DECIMAL, 1)} end"
-)
-
-
-def _component_sql(source: str, columns: str, style: str = "'none'") -> str:
-    """Rows of components of a source with columns clean and pattern."""
-    parts = [
-        ("pattern = 'missing'", 0, "'missing'", "cast(null as double)", "0.95"),
-        ("pattern = 'count_parenthesized_percent'", 0, "'count'", _COUNT, "0.96"),
-        ("pattern = 'count_parenthesized_percent'", 1, "'percent'", _PERCENT, "0.96"),
-        *((f"pattern = 'median_iqr'", g, f"'{k}'", V.sql_part("clean", V.MEDIAN_RANGE, g + 1), "0.94") for g, k in enumerate(("median", "q1", "q3"))),
-        *((f"pattern = '{p}'", 0, f"case when {style} in ('mean_sd', 'mean_se') then 'mean' else 'estimate' end", V.sql_part("clean", r, 1), "0.88") for p, r in _PAIRS.items()),
-        *((f"pattern = '{p}'", 1, f"case when {style} = 'mean_sd' then 'sd' when {style} in ('mean_se', 'estimate_se') then 'se' else 'unknown' end", V.sql_part("clean", r, 2), f"case when {style} in ('mean_sd', 'mean_se', 'estimate_se') then 0.88 else 0.75 end") for p, r in _PAIRS.items()),
-        ("pattern = 'p_value'", 0, "'p_value'", V.sql_part("clean", V.P_VALUE, 2), "0.85"),
-        ("pattern = 'integer'", 0, "'count'", V.sql_part("clean", V.WHOLE, 1), "0.9"),
-        ("pattern = 'numeric_scalar'", 0, "'estimate'", V.sql_part("clean", V.DECIMAL, 1), "0.75"),
-        ("pattern = 'free_text'", 0, "'text'", "cast(null as double)", "0.4"),
-    ]
-    return " union all ".join(f"select {columns}, {n} as ordinal, {kind} as kind, {value} as value_num, cast({conf} as double) as confidence from {source} where {test}" for test, n, kind, value, conf in parts)
+_PERCENT = Q.second("clean", "pattern")
+_COUNT = "case when pattern in ('integer', 'count_parenthesized_percent') then " + Q.first("clean", "pattern") + " end"
 
 
 SQL: dict[str, str] = {
@@ -217,9 +195,9 @@ SQL: dict[str, str] = {
     "nrm7_indent": _C + "select table_id, row_idx, indent from indents",
     "nrm11_body_start": _C + "select table_id, anchor_row, body_start from starts",
     "nrm13_value_like": _C + "select table_id, sum(n_value_like) as n_value_like, sum(n_trailing) as n_trailing from rows group by table_id",
-    "row1_value_family": _C + f"select table_id, {V.sql_family('clean')} as family, count(*) as n_cells from c where col_idx > 0 and clean <> '' group by all",
+    "row1_value_family": _C + f"select table_id, {Q.family('clean')} as family, count(*) as n_cells from c where col_idx > 0 and clean <> '' group by all",
     "row7_indent_informative": _C + "select table_id, count(*) >= 3 and count(*) filter (where indent - base >= 2) >= 2 and count(distinct indent) >= 2 as informative from (select *, min(indent) over (partition by table_id) as base from indents where indent is not null) group by table_id",
-    "val1_components": f"with v as (select raw_value, clean, {V.sql_pattern('clean')} as pattern from (select distinct raw_value, {T.sql_clean('raw_value')} as clean from cell_value where raw_value is not null)) " + _component_sql("v", "raw_value, pattern"),
+    "val1_components": f"with v as (select raw_value, clean, {Q.pattern('clean')} as pattern from (select distinct raw_value, {T.sql_clean('raw_value')} as clean from cell_value where raw_value is not null)) " + Q.components("v", "raw_value, pattern"),
     "val3_parsed_cells": _C + "select table_id, pattern, count(*) as n_cells from parsed group by all",
     "col4_column_roles": _C
     + """select table_id, col_idx, header, match_text, role, denominator, cast(case role when 'p_value' then case when col_idx = n_cols - 1 then 0.98 when col_idx >= greatest(0, n_cols - 2) then 0.94 else 0.85 end
@@ -227,16 +205,16 @@ SQL: dict[str, str] = {
       when 'group' then case when low in ('case', 'cases') then 0.92 when low like 'q%' and length(low) <= 3 then 0.8 else 0.78 end
       else case when header = '' then 0.4 else 0.45 end end as double) as confidence from roles""",
     "val5_value_records": _C + "select table_id, variable_id, level_id, row_idx, col_idx, role, pattern, case when pattern = 'median_iqr' then 3 when pattern in ('count_parenthesized_percent', 'numeric_parenthesized_uncertainty', 'numeric_plusminus_uncertainty', 'numeric_spaced_six_uncertainty', 'numeric_dash_uncertainty') then 2 else 1 end as n_components from records",
-    "val6_semantic_kinds": _C + ", k as (" + _component_sql("records", "coalesce(summary_style_hint, 'none') as style", "coalesce(summary_style_hint, 'none')") + ") select style, kind, count(*) as n_components from k group by all",
+    "val6_semantic_kinds": _C + ", k as (" + Q.components("records", "coalesce(summary_style_hint, 'none') as style", "coalesce(summary_style_hint, 'none')") + ") select style, kind, count(*) as n_components from k group by all",
     "val7_count_percent_audit": _C
-    + f""", l as (select *, {_PERCENT} as percent from records where level_id is not null and summary_style_hint = 'count_pct' and coalesce(role, 'unknown') not in ('p_value', 'smd')),
+    + f""", l as (select *, case when pattern = 'count_parenthesized_percent' then {_PERCENT} end as percent from records where level_id is not null and summary_style_hint = 'count_pct' and coalesce(role, 'unknown') not in ('p_value', 'smd')),
     s as (select table_id, variable_id, col_idx, role, denominator, sum(percent) as percent_sum from l group by all having count(percent) = count(distinct row_idx) and count(*) = count(distinct row_idx)),
     o as (select table_id, max(denominator) as overall_n from records where role = 'overall' and col_idx = 1 group by table_id),
     e as (select s.*, role = 'overall' and col_idx = 1 as is_all, case when role = 'overall' and col_idx = 1 then 100.0 else denominator / nullif(overall_n, 0) * 100.0 end as expected from s left join o using (table_id))
     select table_id, variable_id, col_idx, role, round(percent_sum, 3) as percent_sum, round(cast(expected as double), 3) as expected, abs(percent_sum - expected) <= case when is_all then 2.0 else 3.0 end as agrees from e""",
-    "r1_observed_statistics": _C + ", k as (" + _component_sql("(select * from records where role in ('p_value', 'smd'))", "table_id, variable_id, level_id, col_idx, role, clean, pattern")
-    + f") select table_id, variable_id, level_id, col_idx, role, kind, value_num, case when kind = 'p_value' then coalesce(nullif(regexp_extract(clean, '(?i)^(?:{V.P_VALUE[4:]})$', 1), ''), '=') end as relation from k",
-    "r2_observed_continuous": _C + f"select table_id, variable_id, col_idx, pattern, {_FIRST} as first_value from records where level_id is null and coalesce(role, 'unknown') not in ('p_value', 'smd') and variable_id in (select variable_id from def_variable where variable_type = 'continuous')",
+    "r1_observed_statistics": _C + ", k as (" + Q.components("(select * from records where role in ('p_value', 'smd'))", "table_id, variable_id, level_id, col_idx, role, clean, pattern")
+    + f") select table_id, variable_id, level_id, col_idx, role, kind, value_num, relation from k",
+    "r2_observed_continuous": _C + f"select table_id, variable_id, col_idx, pattern, {Q.first("clean", "pattern")} as first_value from records where level_id is null and coalesce(role, 'unknown') not in ('p_value', 'smd') and variable_id in (select variable_id from def_variable where variable_type = 'continuous')",
     "r3_observed_categorical": _C + f"select table_id, variable_id, level_id, col_idx, {_COUNT} as n, case when pattern = 'count_parenthesized_percent' then {_PERCENT} end as percent from records where level_id is not null and coalesce(role, 'unknown') not in ('p_value', 'smd')",
 }
 QUERIES = {name: globals()[name] for name in SQL}

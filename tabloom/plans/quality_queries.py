@@ -10,6 +10,7 @@ from tabloom.functions import values as V
 from tabloom.operators import geometry as B
 from tabloom.operators import grid as G
 from tabloom.operators import quality as Q
+from tabloom.plans import value_sql as VQ
 from tabloom.plans.grid_queries import _C, _cells, _roles
 from tabloom.runtime import table
 
@@ -125,7 +126,7 @@ def syn2_slugs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "def_variable").where("variable_label is not null").select("variable_label", T.slug(F.col("variable_label")).alias("slug")).distinct()
 
 
-_FAM = _C + f", f as (select *, {V.sql_family('clean')} as family from c), labels as (select *, {T.sql_label('label_raw')} as label_norm from rows)"
+_FAM = _C + f", f as (select *, {VQ.family('clean')} as family from c), labels as (select *, {T.sql_label('label_raw')} as label_norm from rows)"
 _BOX = "with b as (select table_id, row_idx, col_idx, min(bbox.x0) as x0, min(bbox.y0) as y0, max(bbox.x1) as x1, max(bbox.y1) as y1 from ext_cell where bbox is not null and trim(text) <> '' group by all)"
 _OCC = _BOX + ", o as (select table_id, bin, count(distinct row_idx) as n_rows from (select table_id, row_idx, unnest(range(cast(floor(x0 / 5) as bigint), cast(floor(x1 / 5) as bigint) + 1)) as bin from b) group by all)"
 _REG = _BOX + ", g as (select table_id, min(positioned_evidence.canonical_bbox.x0) as gx0, min(positioned_evidence.canonical_bbox.y0) as gy0, max(positioned_evidence.canonical_bbox.x1) as gx1, max(positioned_evidence.canonical_bbox.y1) as gy1 from ext_table where positioned_evidence.canonical_bbox is not null group by table_id), j as (select * from b join g using (table_id))"

@@ -46,6 +46,15 @@ def test_value_grammar(spark):
     assert out[None]["pattern"] is None and out[None]["components"] is None
 
 
+def test_confidence_and_relation_of_parts(spark):
+    cases = [("<0.001", None, [("p_value", "<", 0.98)]), ("0.03", None, [("p_value", "=", 0.85)]), ("p<0.03", None, [("p_value", "<", 0.85)]), ("61.4 (9.8)", None, [("estimate", "=", 0.9), ("unknown", "=", 0.75)]), ("61.4 (9.8)", "Mean-SD", [("mean", "=", 0.9), ("sd", "=", 0.9)]),
+             ("61.4 - 9.8", "mean_se", [("estimate", "=", 0.88), ("se", "=", 0.88)]), ("31 (8.8 %)", None, [("count", "=", 0.96), ("percent", "=", 0.96)])]
+    df = spark.createDataFrame([(t, t, s) for t, s, _ in cases], "text string, clean string, style string")
+    out = V.with_components(df, "text", "clean", "style").collect()
+    assert [[(c["kind"], c["relation"], c["confidence"]) for c in r["components"]] for r in out] == [c for _, _, c in cases]
+    assert [c["raw_fragment"] for c in out[-1]["components"]] == ["31", "8.8 %"]
+
+
 def test_style_hint_names_the_parts(spark):
     df = spark.createDataFrame([("53.2 (12.1)", "53.2 (12.1)", s) for s in ("mean_sd", "estimate_se", None)], "text string, clean string, style string")
     kinds = {r["style"]: [c["kind"] for c in r["components"]] for r in V.with_components(df, "text", "clean", "style").collect()}
