@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 # Characters that show nothing.
@@ -39,4 +38,4 @@ def bare(text: str) -> str:
     folded = fold(text)
     if not folded.isascii():
         folded = "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", folded).strip().lower()
+    return " ".join(folded.split()).lower()

@@ -45,7 +45,7 @@ def _without_misspelt(text: str) -> str:
 @lru_cache(maxsize=200_000)
 def stages(label: str) -> tuple[str, str, str]:
     """The label in folded form, without note marks and statistics, and without qualifiers as well."""
-    whole = re.sub(r"\s+", " ", fold(label).replace("_", " ")).strip()
+    whole = " ".join(fold(label).replace("_", " ").split())
     if whole.startswith("(") and whole.endswith(")"):
         whole = whole[1:-1].strip()
     named = _without(whole, _NOTE, _STATISTIC)

@@ -84,6 +84,8 @@ def grams(parts: Sequence[str]) -> Counter[str]:
 ACCEPTED, CHECKED = 0.60, 0.25
 #: Least edit similarity of the exact check, for one word and for several; entries within CLOSE of the best cosine are told apart by it.
 ALIKE_WORD, ALIKE_WORDS, CLOSE = 0.66, 0.75, 0.10
+#: Words whose grams an index remembers.
+REMEMBERED = 100_000
 #: Least lead over the next other entry.
 LEAD = 0.008
 
@@ -99,13 +101,19 @@ class NgramIndex:
         self.size = max(1, len(entries))
         self.weight = {g: math.log(1 + self.size / n) for g, n in spread.items()}
         self.unseen = math.log(1 + self.size / 0.5)
-        postings: dict[str, tuple[list[int], list[float]]] = {g: ([], []) for g in spread}
+        #: Postings of all grams in one piece: the entries and weights of gram k lie from ``first[k]`` to ``first[k + 1]``.
+        self.row = {g: k for k, g in enumerate(spread)}
+        self.weights = np.array([self.weight[g] for g in spread])
+        self.first = np.concatenate(([0], np.cumsum(list(spread.values())))).astype(np.int64)
+        self.entry, self.value = np.zeros(self.first[-1], dtype=np.int32), np.zeros(self.first[-1], dtype=np.float32)
+        free = self.first[:-1].copy()
         for e, c in enumerate(counts):
             norm = math.sqrt(sum(n * self.weight[g] ** 2 for g, n in c.items())) or 1.0
             for g, n in c.items():
-                postings[g][0].append(e)
-                postings[g][1].append(math.sqrt(n) * self.weight[g] / norm)
-        self.postings = {g: (np.array(e, dtype=np.int32), np.array(w, dtype=np.float32)) for g, (e, w) in postings.items()}
+                k = self.row[g]
+                self.entry[free[k]], self.value[free[k]] = e, math.sqrt(n) * self.weight[g] / norm
+                free[k] += 1
+        self._known: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
         self.begins: dict[str, set[int]] = defaultdict(set)
         for e, w in enumerate(self.words):
             for word in w:
@@ -115,19 +123,34 @@ class NgramIndex:
         for e, w in enumerate(self.words):
             self.exact.setdefault(tuple(sorted(w)), e)
 
+    def _word(self, word: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rows and counts of a word's grams that entries have, and the squared weight of the others."""
+        known = self._known.get(word)
+        if known is None:
+            found = grams([word])
+            seen = [(self.row[g], n) for g, n in found.items() if g in self.row]
+            other = sum(n for g, n in found.items() if g not in self.row)
+            known = np.array([k for k, _ in seen], dtype=np.int64), np.array([n for _, n in seen], dtype=float), other * self.unseen**2
+            if len(self._known) < REMEMBERED:
+                self._known[word] = known
+        return known
+
     def cosines(self, parts: Sequence[str]) -> np.ndarray:
         """Weighted cosine of the words with every entry that shares a gram, 0 for the others."""
-        at, values, own = [], [], 0.0
-        for g, n in grams(parts).items():
-            w = math.sqrt(n) * self.weight.get(g, self.unseen)
-            own += w * w
-            if g in self.postings:
-                entries, weights = self.postings[g]
-                at.append(entries)
-                values.append(weights * w)
-        if not at:
+        each = [self._word(p) for p in parts]
+        rows = np.concatenate([e[0] for e in each]) if each else np.zeros(0, dtype=np.int64)
+        if not len(rows):
             return np.zeros(len(self.ids))
-        return np.bincount(np.concatenate(at), weights=np.concatenate(values), minlength=len(self.ids)) / math.sqrt(own)
+        counts = np.concatenate([e[1] for e in each])
+        if len(each) > 1:
+            rows, at = np.unique(rows, return_inverse=True)
+            counts = np.bincount(at, weights=counts)
+        weights = self.weights[rows]
+        own = sum(e[2] for e in each) + float((counts * weights * weights).sum())
+        low, many = self.first[rows], self.first[rows + 1] - self.first[rows]
+        places = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        worth = np.repeat(np.sqrt(counts) * weights, many) * self.value[places]
+        return np.bincount(self.entry[places], weights=worth, minlength=len(self.ids)) / math.sqrt(own)
 
     def _expanded(self, parts: Sequence[str], entry: int) -> list[str]:
         """The words with those cut short by a dot completed from the entry's words, each used once, in order."""
