@@ -1,165 +1,286 @@
 """Nested records as flat, linked tables.
 
 Typed nesting (arrays of arrays of structs) is flattened by Spark's own generators. JSON text is indexed
-structurally: over one byte buffer per batch, bitmaps of escapes, quotes, brackets, commas and colons are
+structurally: over one byte buffer of bounded size, bitmaps of escapes, quotes, brackets, commas and colons are
 built, the nesting depth is the prefix sum of the brackets outside strings, and the spans between separators
-of one depth are the elements, each linked to the container that holds it.
+of one depth are the elements, each linked to the container that holds it. The same bitmaps tell which texts are
+valid: what may follow what, in which container, what stands in strings and what scalars look like. Linked rows are
+emitted from the index's arrays; only distinct keys and scalars are decoded.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OPEN, _CLOSE, _COMMA = 0, 2, 1
+#: Bytes of JSON text that are indexed at once.
+BLOCK = 1 << 20
+# Tokens of JSON.
+_END, _OBJECT, _ARRAY, _OBJECT_END, _ARRAY_END, _COMMA, _COLON, _STRING, _SCALAR = range(9)
+_SCALARS = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+_ESCAPE = np.zeros(256, dtype=bool)
+_ESCAPE[list(b'"\\/bfnrtu')] = True
+_HEX = np.zeros(256, dtype=bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
 
 
-def _strict(_: str):
-    raise ValueError("not JSON")
-
-
-def is_json(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_strict)
-        return True
-    except (ValueError, RecursionError):
-        return False
+def _spans(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span, as a dictionary array."""
+    size = end - start
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    data = buffer[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
 
 
 class JsonIndex:
-    """Elements of many JSON texts: arrays ``doc, parent, ordinal, kind, start, end`` and ``key(i)``.
+    """Elements of many JSON texts: arrays ``doc, parent, ordinal, kind, start, end, key_start, key_end``, and ``valid`` by text.
 
-    ``parent`` is the element that holds this one, -1 for a root; ``kind`` is the first byte of the value. All texts
-    must be valid JSON.
+    ``parent`` is the element that holds this one, -1 for a root; ``kind`` is the first byte of the value. Texts that
+    aren't valid JSON have no elements.
     """
 
-    def __init__(self, texts: list[bytes]):
-        self.buffer = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(self.buffer, dtype=np.uint8)
-        lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-        doc_start = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
+    def __init__(self, texts: Sequence[bytes]):
+        self.buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        buf, n = self.buffer, len(texts)
+        lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=n)
+        first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
+        doc_of = np.repeat(np.arange(n), lengths + 1)
         at = np.arange(len(buf), dtype=np.int64)
         slash = buf == 92
         last_other = np.maximum.accumulate(np.where(slash, -1, at))
-        before = np.concatenate(([0], ((at - last_other) & 1)[:-1]))
-        quote = (buf == 34) & (before == 0)
-        inside = (np.cumsum(quote) & 1).astype(bool)  # texts are valid, so each ends outside
+        escaped = np.concatenate(([False], ((at - last_other) & 1)[:-1] == 1))
+        quote = (buf == 34) & ~escaped
+        count = np.cumsum(quote)
+        inside = ((count - np.concatenate(([0], count))[first][doc_of]) & 1) == 1
         outside = ~inside & ~quote
         opens = outside & ((buf == 123) | (buf == 91))
         closes = outside & ((buf == 125) | (buf == 93))
         depth = np.cumsum(opens.astype(np.int32) - closes.astype(np.int32))
+        depth = depth - np.concatenate(([0], depth))[first][doc_of]
         space = (buf == 32) | (buf == 10) | (buf == 13) | (buf == 9)
-        solid = at[~space]
-        # separators of one level in a row: open, commas, close
-        where = np.flatnonzero(opens | closes | (outside & (buf == 44)))
-        what = np.where(opens[where], _OPEN, np.where(closes[where], _CLOSE, _COMMA))
-        level = depth[where] + (what == _CLOSE)
-        doc_of = np.searchsorted(doc_start, where, side="right") - 1
-        order = np.lexsort((where, level, doc_of))
-        where, what, level, doc_of = where[order], what[order], level[order], doc_of[order]
-        first = np.flatnonzero(what != _CLOSE) if len(where) else np.zeros(0, dtype=np.int64)
-        begin, stop = where[first] + 1, where[np.minimum(first + 1, len(where) - 1)] if len(where) else np.zeros(0, dtype=np.int64)
-        place = np.arange(len(where))
-        opener = np.maximum.accumulate(np.where(what == _OPEN, place, -1)) if len(where) else place
-        container = where[opener[first]] if len(where) else begin
-        ordinal = first - opener[first] if len(where) else begin
-        # a colon of the same level inside the span makes a member
-        colon = np.flatnonzero(outside & (buf == 58))
-        c_level, c_doc = depth[colon], np.searchsorted(doc_start, colon, side="right") - 1
-        c_order = np.lexsort((colon, c_level, c_doc))
-        rank = lambda doc, lev, pos: (doc.astype(np.int64) * (int(depth.max(initial=0)) + 2) + lev) * (len(buf) + 1) + pos
-        c_rank = rank(c_doc[c_order], c_level[c_order], colon[c_order])
-        hit = np.searchsorted(c_rank, rank(doc_of[first], level[first], begin)) if len(first) else first
-        mark = np.full(len(first), -1, dtype=np.int64)
-        if len(c_rank) and len(first):
-            safe = np.minimum(hit, len(c_rank) - 1)
-            found = colon[c_order][safe]
-            good = (hit < len(c_rank)) & (c_doc[c_order][safe] == doc_of[first]) & (c_level[c_order][safe] == level[first]) & (found < stop)
-            mark = np.where(good, found, -1)
-        value_from = np.where(mark >= 0, mark + 1, begin)
-        start = self._next(solid, value_from)
-        end = self._previous(solid, stop) + 1
-        full = start < stop  # an empty container has no element
-        roots = self._next(solid, doc_start)
-        root_end = self._previous(solid, doc_start + lengths) + 1
-        self.doc = np.concatenate((np.arange(len(texts)), doc_of[first][full]))
-        self.start = np.concatenate((roots, start[full]))
-        self.end = np.concatenate((root_end, end[full]))
-        self.ordinal = np.concatenate((np.zeros(len(texts), dtype=np.int64), ordinal[full]))
-        self.kind = buf[np.minimum(self.start, len(buf) - 1)]
-        self.key_start = np.concatenate((np.full(len(texts), -1), np.where(mark >= 0, self._next(solid, begin), -1)[full]))
-        self.key_end = np.concatenate((np.full(len(texts), -1), np.where(mark >= 0, self._previous(solid, mark) + 1, -1)[full]))
-        by_start = np.argsort(self.start, kind="stable")
-        held = np.concatenate((np.full(len(texts), -1), container[full]))
-        self.parent = np.where(held >= 0, by_start[np.minimum(np.searchsorted(self.start[by_start], held), len(by_start) - 1)], -1)
+        mark = opens | closes | (outside & ((buf == 44) | (buf == 58)))
+        plain = outside & ~mark & ~space
+        head = plain & ~np.concatenate(([False], plain[:-1]))
+        place = np.flatnonzero(mark | (quote & inside) | head)
+        byte, doc = buf[place], doc_of[place]
+        kind = np.full(len(place), _SCALAR)
+        for sign, token in ((123, _OBJECT), (91, _ARRAY), (125, _OBJECT_END), (93, _ARRAY_END), (44, _COMMA), (58, _COLON)):
+            kind[mark[place] & (byte == sign)] = token
+        kind[(quote & inside)[place]] = _STRING
+        # a token lies in the container that was opened last at its level, an opening one in that of the level above
+        ends = (kind == _OBJECT_END) | (kind == _ARRAY_END)
+        is_open = (kind == _OBJECT) | (kind == _ARRAY)
+        level = depth[place] + ends  # of the container that a token opens, closes or lies in
+        rank = doc * (int(level.max(initial=0)) + 2) + level
+        span = len(buf) + 1
+        opened = np.flatnonzero(is_open)
+        opened = opened[np.lexsort((place[opened], rank[opened]))]
+        keys = rank[opened] * span + place[opened]
+        sought = rank - is_open
+        hit = np.searchsorted(keys, sought * span + place) - 1
+        held = opened[np.maximum(hit, 0)] if len(opened) else np.zeros(len(place), dtype=np.int64)
+        container = np.where((hit >= 0) & (level - is_open > 0), held, -1)
+        if len(opened):
+            container = np.where((container >= 0) & (rank[held] == sought), container, -1)
+        self._check(n, first, lengths, inside, escaped, slash, depth, count, kind, doc, container, place, plain, outside)
+        self._elements(kind, doc, container, place, quote, plain)
+
+    def _check(self, n, first, lengths, inside, escaped, slash, depth, count, kind, doc, container, place, plain, outside) -> None:
+        buf = self.buffer
+        bad = np.zeros(n, dtype=bool)
+        last = first + lengths - 1
+        full = lengths > 0
+        bad |= ~full
+        base = np.concatenate(([0], count))
+        bad |= ((base[first + lengths] - base[first]) & 1) == 1
+        bad[full] |= depth[last[full]] != 0
+        blame = lambda mask: np.unique(np.searchsorted(first, np.flatnonzero(mask), side="right") - 1)
+        bad[blame(depth < 0)] = True
+        bad[blame(slash & outside)] = True
+        bad[blame(inside & (buf < 32))] = True
+        after = escaped & inside
+        bad[blame(after & ~_ESCAPE[buf])] = True
+        for k in range(1, 5):
+            code = np.flatnonzero(after & (buf == 117))
+            wrong = ~_HEX[buf[np.minimum(code + k, len(buf) - 1)]]
+            bad[np.searchsorted(first, code[wrong], side="right") - 1] = True
+        scalars = np.flatnonzero(kind == _SCALAR)
+        if len(scalars):
+            stops = np.flatnonzero(~plain)
+            ends = stops[np.searchsorted(stops, place[scalars])]
+            coded = _spans(buf, place[scalars], ends)
+            wrong = np.array([_SCALARS.fullmatch(x) is None for x in coded.dictionary.to_pylist()], dtype=bool)
+            bad[doc[scalars[wrong[coded.indices.to_numpy()]]]] = True
+        # what may stand after what
+        starts = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=bool)
+        before = np.where(starts, _END, np.concatenate(([_END], kind[:-1])) if len(kind) else kind)
+        within = np.where(container >= 0, kind[container], _END)
+        key = (kind == _STRING) & (within == _OBJECT) & ((before == _OBJECT) | (before == _COMMA))
+        after_key = np.concatenate(([False], key[:-1])) & ~starts if len(key) else key
+        begins = np.isin(kind, (_OBJECT, _ARRAY, _STRING, _SCALAR))
+        ended = np.isin(before, (_OBJECT_END, _ARRAY_END, _SCALAR)) | ((before == _STRING) & ~after_key)
+        good = np.where(
+            starts, begins,
+            np.where(after_key, kind == _COLON,
+            np.where(before == _OBJECT, key | (kind == _OBJECT_END),
+            np.where(before == _ARRAY, begins | (kind == _ARRAY_END),
+            np.where(before == _COLON, begins,
+            np.where(before == _COMMA, np.where(within == _OBJECT, key, begins & (within == _ARRAY)),
+            ended & (((within == _OBJECT) & ((kind == _COMMA) | (kind == _OBJECT_END))) | ((within == _ARRAY) & ((kind == _COMMA) | (kind == _ARRAY_END))))))))),
+        )
+        bad[doc[~good]] = True
+        bad |= ~np.isin(np.arange(n), doc)
+        finals = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(0, dtype=np.int64)
+        bad[doc[finals[np.isin(kind[finals], (_OBJECT, _ARRAY, _COMMA, _COLON)) | key[finals]]]] = True
+        self.valid = ~bad
+        self._key = key
+
+    def _elements(self, kind, doc, container, place, quote, plain) -> None:
+        """Every token that begins a value of a valid text is an element."""
+        value = np.isin(kind, (_OBJECT, _ARRAY, _STRING, _SCALAR)) & ~self._key & self.valid[doc]
+        where = np.flatnonzero(value)
+        number = np.full(len(kind) + 1, -1, dtype=np.int64)
+        number[where] = np.arange(len(where))
+        self.doc, self.start, self.kind = doc[where], place[where], self.buffer[place[where]]
+        self.parent = number[container[where]]
+        stops = np.flatnonzero(~plain)
+        quotes = np.flatnonzero(quote)
+        self.end = self.start + 1
+        scalar, text = kind[where] == _SCALAR, kind[where] == _STRING
+        self.end[scalar] = stops[np.searchsorted(stops, self.start[scalar])]
+        closing = np.flatnonzero(((kind == _OBJECT_END) | (kind == _ARRAY_END)) & (container >= 0))
+        closed = number[container[closing]]
+        self.end[closed[closed >= 0]] = place[closing[closed >= 0]] + 1
+        self.end[text] = quotes[np.searchsorted(quotes, self.start[text]) + 1] + 1
+        # the key of a member is the string two tokens before it
+        keyed = np.flatnonzero((kind[np.maximum(where - 1, 0)] == _COLON) & (self.parent >= 0))
+        self.key_start, self.key_end = np.full(len(where), -1, dtype=np.int64), np.full(len(where), -1, dtype=np.int64)
+        self.key_start[keyed] = place[where[keyed] - 2]
+        self.key_end[keyed] = quotes[np.searchsorted(quotes, self.key_start[keyed]) + 1] + 1
+        # elements come in order of place, so those of one parent do
+        order = np.argsort(self.parent, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(self.parent[order]) != 0))) if len(order) else order
+        self.ordinal = np.empty(len(where), dtype=np.int64)
+        self.ordinal[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        self.ordinal[self.parent < 0] = 0
 
-    @staticmethod
-    def _next(solid: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        return solid[np.minimum(np.searchsorted(solid, pos), len(solid) - 1)]
-
-    @staticmethod
-    def _previous(solid: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        return solid[np.maximum(np.searchsorted(solid, pos) - 1, 0)]
 
     def key(self, i: int) -> str | None:
-        return json.loads(self.buffer[self.key_start[i] : self.key_end[i]]) if self.key_start[i] >= 0 else None
+        return json.loads(bytes(self.buffer[self.key_start[i] : self.key_end[i]])) if self.key_start[i] >= 0 else None
 
     def value(self, i: int) -> str:
-        return self.buffer[self.start[i] : self.end[i]].decode()
+        return bytes(self.buffer[self.start[i] : self.end[i]]).decode()
+
+
+def is_json(text: str) -> bool:
+    return bool(JsonIndex([text.encode("utf-8", "surrogatepass")]).valid[0])
 
 
 _KINDS = {123: "object", 91: "array", 34: "string", 110: "null", 116: "boolean", 102: "boolean"}
 
 
-def _expanded(texts: list[str]) -> Iterator[tuple[JsonIndex, list[int], list[tuple[int, int]]]]:
-    """Index the texts, then the JSON texts held as strings inside them, until none is left.
+def _pieces(texts: Sequence[str | None], size: int = BLOCK) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about ``size`` bytes, with the place of the first; a longer text is a run of its own."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text) if text else 0
+        if i > begin and held + n > size:
+            yield begin, list(texts[begin:i])
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, list(texts[begin:])
+
+
+class Forest:
+    """The elements of texts and of the JSON texts held as strings in them: arrays text, parent, ordinal, kind, key and value codes.
 
-    Yields an index with, for each of its texts, the text it came from (-1 at first) and the place of the string.
+    A text in a string hangs below the string. ``keys`` and ``values`` are the distinct decoded keys and raw scalars;
+    code -1 is none.
     """
-    origin = [(-1, -1)] * len(texts)
-    source = list(range(len(texts)))
-    while texts:
-        index = JsonIndex([t.encode("utf-8", "surrogatepass") for t in texts])
-        yield index, source, origin
-        inner, inner_source, inner_origin = [], [], []
-        for i in np.flatnonzero(index.kind == 34):
-            raw = index.buffer[index.start[i] : index.end[i]]
-            if raw[1:2] in (b"[", b"{") or raw[1:3] == b'\\"':
-                held = json.loads(raw)
-                if is_json(held):
-                    inner.append(held)
-                    inner_source.append(source[index.doc[i]])
-                    inner_origin.append((id(index), int(i)))
-        texts, source, origin = inner, inner_source, inner_origin
-
-
-def _links(texts: list[str]) -> list[tuple[int, list, list, list, list, list]]:
-    """All elements of a batch as one forest: rows (text, node, parent, key, ordinal, kind, value-getter)."""
-    base, rows, at = 0, [], {}
-    for index, source, origin in _expanded(texts):
-        n = len(index.doc)
-        at[id(index)] = base
-        keys = [index.key(i) for i in range(n)]
-        for i in range(n):
-            held = origin[index.doc[i]] if index.parent[i] < 0 else (-1, -1)
-            parent = base + int(index.parent[i]) if index.parent[i] >= 0 else (at[held[0]] + held[1] if held[0] != -1 else -1)
-            rows.append((source[index.doc[i]], parent, keys[i], int(index.ordinal[i]), int(index.kind[i]), index, i))
-        base += n
-    return rows
-
-
-def _valid(batch: pa.RecordBatch, column: str) -> tuple[list[str], list[int]]:
-    texts, at = [], []
-    for i, text in enumerate(batch.column(column).to_pylist()):
-        if text is not None and is_json(text):
-            texts.append(text)
-            at.append(i)
-    return texts, at
+
+    def __init__(self, texts: Sequence[str | None]):
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        keys: dict[bytes, int] = {}
+        values: dict[bytes, int] = {}
+        source = np.array([i for i, t in enumerate(texts) if t is not None], dtype=np.int64)
+        raw = [texts[i].encode("utf-8", "surrogatepass") for i in source]
+        above, base = np.full(len(raw), -1, dtype=np.int64), 0
+        while raw:
+            index = JsonIndex(raw)
+            n = len(index.doc)
+            parent = np.where(index.parent >= 0, index.parent + base, above[index.doc])
+            code = np.full(n, -1, dtype=np.int64)
+            named = np.flatnonzero(index.key_start >= 0)
+            code[named] = self._coded(_spans(index.buffer, index.key_start[named], index.key_end[named]), keys)
+            told = np.full(n, -1, dtype=np.int64)
+            scalar = np.flatnonzero((index.kind != 123) & (index.kind != 91))
+            spans = _spans(index.buffer, index.start[scalar], index.end[scalar])
+            told[scalar] = self._coded(spans, values)
+            for column, part in zip(columns, (source[index.doc], parent, index.ordinal, index.kind, code, told)):
+                column.append(part)
+            # strings that may hold JSON in their turn
+            maybe = np.array([x[1:2] in (b"[", b"{") or x[1:3] == b'\\"' for x in spans.dictionary.to_pylist()], dtype=bool)
+            inner = scalar[maybe[spans.indices.to_numpy()] & (index.kind[scalar] == 34)] if len(scalar) else scalar
+            raw = [json.loads(bytes(index.buffer[index.start[i] : index.end[i]])).encode("utf-8", "surrogatepass") for i in inner]
+            source, above, base = source[index.doc[inner]], inner + base, base + n
+        self.text, self.parent, self.ordinal, self.kind, self.key, self.value = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in columns)
+        self.keys, self.values = [json.loads(k) for k in keys], list(values)
+        order = np.argsort(self.parent, kind="stable")
+        self._child, self._from = order, np.searchsorted(self.parent[order], np.arange(len(self.text) + 1))
+
+    @staticmethod
+    def _coded(spans: pa.Array, known: dict[bytes, int]) -> np.ndarray:
+        codes = np.array([known.setdefault(k, len(known)) for k in spans.dictionary.to_pylist()], dtype=np.int64)
+        return codes[spans.indices.to_numpy()] if len(codes) else np.zeros(0, dtype=np.int64)
+
+    def children(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``nodes``, child) of all children, in order."""
+        low, many = self._from[nodes], self._from[nodes + 1] - self._from[nodes]
+        owner = np.repeat(np.arange(len(nodes)), many)
+        return owner, self._child[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+    def member(self, nodes: np.ndarray, name: str, scalar: bool = True) -> np.ndarray:
+        """For each node its first member of that name, a scalar one if asked, or -1."""
+        out = np.full(len(nodes), -1, dtype=np.int64)
+        codes = [k for k, key in enumerate(self.keys) if key == name]
+        owner, child = self.children(nodes)
+        fits = np.isin(self.key[child], codes) & (~np.isin(self.kind[child], (123, 91)) if scalar else True)
+        out[owner[fits][::-1]] = child[fits][::-1]
+        return out
+
+    def scalars(self, nodes: np.ndarray) -> list:
+        """Decoded scalars; None for node -1."""
+        codes = np.where(nodes >= 0, self.value[nodes], -1)
+        decoded = {c: json.loads(self.values[c]) for c in np.unique(codes) if c >= 0}
+        return [decoded.get(c) for c in codes.tolist()]
+
+    def items(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``nodes``, position, element) of list fields that may be arrays, objects keyed by position, one bare object or JSON in a string."""
+        own = np.arange(len(nodes))
+        while (self.kind[nodes] == 34).any():
+            text = self.kind[nodes] == 34
+            owner, child = self.children(nodes[text])
+            own, nodes = np.concatenate((own[~text], own[text][owner])), np.concatenate((nodes[~text], child))
+        owner, child = self.children(nodes)
+        digits = np.array([k.isdecimal() and k.isascii() for k in self.keys] + [False], dtype=bool)
+        by_place = np.array([int(k) if d else 0 for k, d in zip(self.keys, digits)] + [0], dtype=np.int64)
+        code = self.key[child]
+        array = self.kind[nodes] == 91
+        count = np.bincount(owner, minlength=len(nodes))
+        keyed = (self.kind[nodes] == 123) & (count > 0) & (np.bincount(owner, weights=digits[code], minlength=len(nodes)) == count)
+        bare = np.flatnonzero((self.kind[nodes] == 123) & (count > 0) & ~keyed)
+        listed = array[owner] | keyed[owner]
+        position = np.where(array[owner], self.ordinal[child], by_place[code])
+        out = np.concatenate((own[owner[listed]], own[bare])), np.concatenate((position[listed], np.zeros(len(bare), dtype=np.int64))), np.concatenate((child[listed], nodes[bare]))
+        order = np.argsort(out[0], kind="stable")
+        return tuple(x[order] for x in out)
 
 
 def json_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -171,77 +292,66 @@ def json_nodes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = _valid(batch, json_col)
-            ids = batch.column("record_id").to_pylist()
-            rows = _links(texts)
-            first: dict[int, dict[int, int]] = {}
-            out = []
-            for node, (text, parent, key, ordinal, kind, index, i) in enumerate(rows):
-                local = first.setdefault(text, {})
-                local[node] = len(local)
-                name = _KINDS.get(kind, "number")
-                value = None if name in ("object", "array", "null") else (json.loads(index.value(i)) if name == "string" else index.value(i))
-                out.append({"record_id": ids[at[text]], "node": local[node], "parent": local.get(parent, -1), "key": key, "ordinal": ordinal, "kind": name, "value": value})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("record_id", batch.schema.field("record_id").type), ("node", pa.int32()), ("parent", pa.int32()), ("key", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+            for at, texts in _pieces(batch.column(json_col).to_pylist()):
+                forest = Forest(texts)
+                order = np.argsort(forest.text, kind="stable")
+                first = np.searchsorted(forest.text[order], forest.text)
+                local = np.empty(len(order), dtype=np.int64)
+                local[order] = np.arange(len(order))
+                node = local - first
+                parent = np.where(forest.parent >= 0, node[forest.parent], -1)
+                kinds = [_KINDS.get(k, "number") for k in forest.kind.tolist()]
+                decoded = forest.scalars(np.where(np.isin(forest.kind, (34,)), np.arange(len(order)), -1))
+                value = [d if k == "string" else None if k in ("object", "array", "null") else forest.values[v].decode() for k, d, v in zip(kinds, decoded, forest.value.tolist())]
+                key = [forest.keys[k] if k >= 0 else None for k in forest.key.tolist()]
+                ids = batch.column("record_id").take(pa.array(at + forest.text))
+                columns = [ids, pa.array(node, pa.int32()), pa.array(parent, pa.int32()), pa.array(key, pa.string()), pa.array(forest.ordinal, pa.int32()), pa.array(kinds, pa.string()), pa.array(value, pa.string())]
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(order)) for c in columns], names=["record_id", "node", "parent", "key", "ordinal", "kind", "value"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("record_id"), F.col(json_col)).mapInArrow(run, f"record_id {kind}, node int, parent int, key string, ordinal int, kind string, value string")
 
 
-def _items(children: dict[int, list[int]], rows: list, node: int) -> list[tuple[int, int]]:
-    """(position, element) of a list field that may be an array, an object keyed by position, one bare object or JSON in a string."""
-    kind, below = rows[node][4], children.get(node, [])
-    if kind == 34:
-        return [x for child in below for x in _items(children, rows, child)]
-    if kind == 91:
-        return [(rows[c][3], c) for c in below]
-    if kind == 123 and below:
-        keys = [rows[c][2] for c in below]
-        return [(int(k), c) for k, c in zip(keys, below)] if all(k.isdecimal() and k.isascii() for k in keys) else [(0, node)]
-    return []
+def _boundary_rows(texts: Sequence[str | None]) -> pa.RecordBatch:
+    forest = Forest(texts)
+    codes = [k for k, key in enumerate(forest.keys) if key == "boundary_candidates"]
+    lists = np.flatnonzero(np.isin(forest.key, codes))
+    told = forest.scalars(forest.member(forest.parent[lists], "table_id"))
+    tables = np.array([None, *(t if t is None or isinstance(t, str) else str(t) for t in told)], dtype=object)[1:]
+    owner, pos1, item = forest.items(lists)
+    real = forest.kind[item] != 110
+    owner, pos1, item = owner[real], pos1[real], item[real]
+    fields, child = forest.children(item)
+    rules_at = np.isin(forest.key[child], [k for k, key in enumerate(forest.keys) if key == "rule_references"])
+    fields, child = fields[rules_at], child[rules_at]
+    field, pos2, rule = forest.items(child)
+    real = forest.kind[rule] != 110
+    of, pos2, rule = fields[field[real]], pos2[real], rule[real]
+    number = lambda node: [float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None for v in forest.scalars(node)]
+    n, m = len(item), len(rule)
+    source = [v if isinstance(v, str) else None for v in forest.scalars(forest.member(rule, "source"))]
+    index = [v if isinstance(v, int) else None for v in forest.scalars(forest.member(rule, "source_index"))]
+    columns = {
+        "node_kind": pa.array(["boundary"] * n + ["rule"] * m, pa.string()), "table_id": pa.array([*tables[owner], *tables[owner[of]]], pa.string()),
+        "pos1": pa.array(np.concatenate((pos1, pos1[of])), pa.int32()), "pos2": pa.array(np.concatenate((np.full(n, -1), pos2)), pa.int32()),
+        "y": pa.array(number(forest.member(item, "canonical_y")) + [None] * m, pa.float64()), "coverage": pa.array(number(forest.member(item, "table_coverage_fraction")) + [None] * m, pa.float64()),
+        "source": pa.array([None] * n + source, pa.string()), "source_index": pa.array([None] * n + index, pa.int64()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def boundary_nodes(df: DataFrame, json_col: str = "payload") -> DataFrame:
-    """Boundary candidates and their rules in proposal payloads: node_kind, table_id, pos1, pos2, y, role_count, source, source_index.
+    """Boundary candidates and their rules in proposal payloads: node_kind, table_id, pos1, pos2, y, coverage, source, source_index.
 
     A proposal is any object with ``boundary_candidates``, at any depth, alone, in a list or in a string. Lists may
     also be objects keyed by position or a bare single entry. A null entry keeps its place and gives no row; null,
     blank and invalid payloads give none. Resent payloads give equal rows, which are kept here.
     """
-    fields = [("node_kind", pa.string()), ("table_id", pa.string()), ("pos1", pa.int32()), ("pos2", pa.int32()), ("y", pa.float64()), ("coverage", pa.float64()), ("source", pa.string()), ("source_index", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, _ = _valid(batch, json_col)
-            rows = _links(texts)
-            children: dict[int, list[int]] = {}
-            for node, row in enumerate(rows):
-                children.setdefault(row[1], []).append(node)
-
-            def scalar(node: int, name: str):
-                for c in children.get(node, []):
-                    if rows[c][2] == name and rows[c][4] not in (123, 91):
-                        return json.loads(rows[c][5].value(rows[c][6]))
-                return None
-
-            number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-            out = []
-            for node, row in enumerate(rows):
-                if row[2] != "boundary_candidates":
-                    continue
-                table = scalar(row[1], "table_id")
-                table = table if table is None or isinstance(table, str) else str(table)
-                for pos, item in _items(children, rows, node):
-                    if rows[item][4] == 110:
-                        continue
-                    out.append(("boundary", table, pos, -1, number(scalar(item, "canonical_y")), number(scalar(item, "table_coverage_fraction")), None, None))
-                    for field in children.get(item, []):
-                        if rows[field][2] == "rule_references":
-                            for place, rule in _items(children, rows, field):
-                                if rows[rule][4] != 110:
-                                    name, number_of = scalar(rule, "source"), scalar(rule, "source_index")
-                                    out.append(("rule", table, pos, place, None, None, name if isinstance(name, str) else None, number_of if isinstance(number_of, int) else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+            for _, texts in _pieces(batch.column(json_col).to_pylist()):
+                yield _boundary_rows(texts)
 
     return df.select(json_col).mapInArrow(run, "node_kind string, table_id string, pos1 int, pos2 int, y double, coverage double, source string, source_index long")
 

@@ -30,7 +30,26 @@ def test_index_finds_every_element(docs, indent):
         assert got == sorted((str(k), o, v) for k, o, v in walk(doc))
         for i in mine:
             p = index.parent[i]
-            assert (p == -1) == (i == n) and (p == -1 or index.start[p] < index.start[i] < index.end[i] <= index.end[p])
+            assert (p == -1) == (i == mine[0]) and (p == -1 or index.start[p] < index.start[i] < index.end[i] <= index.end[p])
+
+
+def strict(_):
+    raise ValueError
+
+
+def parses(text):
+    try:
+        json.loads(text, parse_constant=strict)
+        return True
+    except ValueError:
+        return False
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet='{}[]:,"\\ u0e-1.tn', max_size=8), values.map(json.dumps), st.tuples(values.map(json.dumps), st.integers(0, 30), st.sampled_from(['', ',', '"', '}', ']', ':', '\\', '0', 'x', '\n', '\t']))), min_size=1, max_size=5))
+def test_validity_is_that_of_a_parser(docs):
+    texts = [d if isinstance(d, str) else d[0][: d[1]] + d[2] + d[0][d[1] + 1 :] for d in docs]
+    assert JsonIndex([t.encode() for t in texts]).valid.tolist() == [parses(t) for t in texts]
 
 
 def boundary(**more):
