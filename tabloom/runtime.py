@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; make a local one only where it is unset."""
+    """Use the folder named in spark.checkpoint.dir; make one only where it is unset and the session is one machine.
+
+    Raises ValueError on a cluster that names none: its executors can't read a folder of one machine.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not (context.master.startswith("local[") or context.master == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabloom-checkpoint-"))
 
 
