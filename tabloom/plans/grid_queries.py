@@ -9,13 +9,20 @@ from tabloom.functions import text as T
 from tabloom.functions import values as V
 from tabloom.operators import grid as G
 from tabloom.plans import value_sql as Q
-from tabloom.runtime import table
+from tabloom.runtime import checkpoint, table
 
 
 def _cells(s: SparkSession, d: str) -> DataFrame:
     return G.unique_cells(table(s, d, "ext_cell"))
 
 
+def _grid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unique cells, row views and body starts; the cells are read, cleaned and brought together once."""
+    cells = checkpoint(_cells(s, d))
+    views = G.row_views(cells)
+    return cells, views, G.body_starts(views)
+
+
 def _rows(s: SparkSession, d: str) -> DataFrame:
     return G.row_views(_cells(s, d))
 
@@ -73,13 +80,13 @@ def val1_components(s: SparkSession, d: str) -> DataFrame:
 
 
 def val3_parsed_cells(s: SparkSession, d: str) -> DataFrame:
-    cells = _cells(s, d)
-    return G.parsed_cells(cells, G.body_starts(G.row_views(cells))).groupBy("table_id", "pattern").agg(F.count("*").alias("n_cells"))
+    cells, _, starts = _grid(s, d)
+    return G.parsed_cells(cells, starts).groupBy("table_id", "pattern").agg(F.count("*").alias("n_cells"))
 
 
 def _roles(s: SparkSession, d: str) -> DataFrame:
-    cells = _cells(s, d)
-    return G.column_roles(G.header_labels(cells, G.body_starts(G.row_views(cells))))
+    cells, _, starts = _grid(s, d)
+    return checkpoint(G.column_roles(G.header_labels(cells, starts)))
 
 
 def col4_column_roles(s: SparkSession, d: str) -> DataFrame:
@@ -87,8 +94,8 @@ def col4_column_roles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
-    cells = _cells(s, d)
-    starts = G.body_starts(G.row_views(cells))
+    cells, _, starts = _grid(s, d)
+    starts = checkpoint(starts)
     roles = G.column_roles(G.header_labels(cells, starts))
     return G.value_records(G.parsed_cells(cells, starts), table(s, d, "def_variable"), table(s, d, "def_level"), roles)
 
@@ -104,7 +111,7 @@ def val6_semantic_kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 def val7_count_percent_audit(s: SparkSession, d: str) -> DataFrame:
-    audit = G.count_percent_audit(_records(s, d))
+    audit = G.count_percent_audit(checkpoint(_records(s, d)))
     return audit.select("table_id", "variable_id", "col_idx", "role", F.round("percent_sum", 3).alias("percent_sum"), F.round("expected", 3).alias("expected"), "agrees")
 
 

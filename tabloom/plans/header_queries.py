@@ -13,16 +13,10 @@ from tabloom.operators import grid as G
 from tabloom.operators import headers as H
 from tabloom.operators import texts as P
 from tabloom.plans import value_sql as VQ
-from tabloom.plans.grid_queries import _C, _cells
+from tabloom.plans.grid_queries import _C, _cells, _grid
 from tabloom.runtime import checkpoint, table
 
 
-def _grid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    cells = checkpoint(_cells(s, d))
-    views = G.row_views(cells)
-    return cells, views, G.body_starts(views)
-
-
 def nrm9_header_split(s: SparkSession, d: str) -> DataFrame:
     _, views, starts = _grid(s, d)
     return H.header_split(views, starts)

@@ -13,7 +13,7 @@ from tabloom.plans.grid_queries import _C, _cells, _roles
 from tabloom.plans.paper_queries import _LINES
 from tabloom.plans.quality_queries import SQL as _QUALITY
 from tabloom.plans.quality_queries import _families
-from tabloom.runtime import table
+from tabloom.runtime import checkpoint, table
 
 
 def geo9_cell_markers(s: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def jon15_note_links(s: SparkSession, d: str) -> DataFrame:
 
 def _kinds(s: SparkSession, d: str) -> DataFrame:
     cells = _families(s, d)
-    rows = G.row_views(cells)
+    rows = checkpoint(G.row_views(cells))
     return K.row_kinds(rows, Q.likely_levels(cells, rows, _roles(s, d)), G.body_starts(rows))
 
 

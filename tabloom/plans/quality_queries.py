@@ -12,11 +12,11 @@ from tabloom.operators import grid as G
 from tabloom.operators import quality as Q
 from tabloom.plans import value_sql as VQ
 from tabloom.plans.grid_queries import _C, _cells, _roles
-from tabloom.runtime import table
+from tabloom.runtime import checkpoint, table
 
 
 def _families(s: SparkSession, d: str) -> DataFrame:
-    return _cells(s, d).withColumn("family", V.value_family(F.col("clean")))
+    return checkpoint(_cells(s, d).withColumn("family", V.value_family(F.col("clean"))))
 
 
 def row2_likely_levels(s: SparkSession, d: str) -> DataFrame:
