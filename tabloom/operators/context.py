@@ -158,15 +158,67 @@ def variable_inventory(variables: DataFrame, tables: DataFrame, docs: DataFrame)
     return out.withColumn("promoted", (F.col("n_tables") >= 2) | (F.col("n_docs") > 0))
 
 
-def duplicate_regions(tables: DataFrame, least: float = 0.8) -> DataFrame:
-    """(table_id, kept_id): tables of one page whose boxes cover each other by ``least`` and whose grids are alike; the smallest id is kept."""
+#: What a mention's source says for a variable; texts by their role.
+SOURCE_WEIGHT = {"table_variable_name": 0.85, "table_variable_label": 0.8, "table_caption": 0.72, "table_grouping_label": 0.7}
+TEXT_WEIGHT = {"abstract_like": 1.0, "methods_like": 0.95, "conclusion_like": 0.9, "discussion_like": 0.85, "results_like": 0.65, "references_like": 0.0}
+OTHER_TEXT, PRIORITY_ROLES = 0.35, ["abstract_like", "methods_like", "conclusion_like", "discussion_like"]
+
+
+def variable_candidates(variables: DataFrame, classes: DataFrame, tables: DataFrame, groupings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Variables of each paper with what supports them: counts by source, promotion_basis, priority_score and confidence.
+
+    Mentions are names and labels of variables, captions that hold a label, grouping labels and documents. A candidate is
+    kept if it has a variable's name, the support of a prominent section, two kinds of source, or a table and the text.
+    ``classes``: variable_id, mention_class; levels, bins and artifacts are no mentions. A document counts once.
+    """
+    papers = tables.groupBy("table_id").agg(F.min("paper_id").alias("paper_id"), F.min("caption").alias("caption")).where("paper_id is not null")
+    good = classes.where("mention_class in ('variable', 'unknown')").select("variable_id").distinct()
+    own = variables.join(good, "variable_id", "left_semi").join(papers.select("table_id", "paper_id"), "table_id")
+    key = lambda label: F.lower(label_text(canonical_label(F.col(label))))
+    named = [own.select("paper_id", key(c).alias("key"), F.lit(f"table_{c}").alias("source"), F.col("table_id").alias("place"), F.lit("").alias("role")) for c in ("variable_name", "variable_label")]
+    labels = named[1].where("length(replace(key, ' ', '')) >= 3").select("paper_id", F.col("key").alias("term")).distinct()
+    in_captions = term_hits(papers.select("paper_id", F.col("table_id").alias("doc_id"), F.col("caption").alias("text")), labels).select("paper_id", F.col("term").alias("key"), F.lit("table_caption").alias("source"), F.col("doc_id").alias("place"), F.lit("").alias("role"))
+    grouped = groupings.join(papers.select("table_id", "paper_id"), "table_id").select("paper_id", F.lower(label_text(F.col("grouping_label"))).alias("key"), F.lit("table_grouping_label").alias("source"), F.col("table_id").alias("place"), F.lit("").alias("role"))
+    roles = docs.select("doc_id", F.coalesce("role_hint", F.lit("other")).alias("role")).distinct()
+    in_text = term_hits(docs, labels).join(roles, "doc_id").select("paper_id", F.col("term").alias("key"), F.lit("text_based").alias("source"), F.col("doc_id").cast("string").alias("place"), "role")
+    mentions = named[0]
+    for more in (named[1], in_captions, grouped, in_text):
+        mentions = mentions.unionByName(more)
+    weight = F.lit(OTHER_TEXT)
+    for name, worth in TEXT_WEIGHT.items():
+        weight = F.when(F.col("role") == name, worth).otherwise(weight)
+    for name, worth in SOURCE_WEIGHT.items():
+        weight = F.when(F.col("source") == name, worth).otherwise(weight)
+    text = F.col("source") == "text_based"
+    counted = mentions.where("length(replace(key, ' ', '')) >= 3").distinct().withColumn("weight", weight).groupBy("paper_id", "key").agg(
+        F.count("*").alias("n_mentions"), F.count_if(text).alias("n_text"), F.count_if(text & F.col("role").isin(PRIORITY_ROLES)).alias("n_priority_text"), F.count_if(~text).alias("n_table"),
+        F.count_if(F.col("source") == "table_caption").alias("n_caption"), F.countDistinct("source").alias("n_sources"), F.bool_or(F.col("source") == "table_variable_name").alias("is_named"), F.max("weight").alias("top"),
+    )
+    priority = F.col("n_priority_text") > 0
+    kept = counted.where(priority | F.col("is_named") | (F.col("n_sources") >= 2) | ((F.col("n_text") > 0) & (F.col("n_table") > 0)))
+    basis = F.when(priority & F.col("is_named"), "priority_text_plus_variable_name").when(priority, "priority_text_support").when(F.col("is_named"), "deterministic_variable_name").otherwise("multi_source_agreement")
+    score = F.least(F.lit(1.0), F.col("top") + 0.04 * (F.col("n_mentions") - 1))
+    confidence = F.least(F.lit(0.99), 0.38 + 0.1 * F.col("n_priority_text") + 0.06 * F.col("n_text") + 0.04 * F.col("n_table") + 0.1 * F.col("top"))
+    return kept.select("paper_id", F.col("key").alias("label"), "n_mentions", "n_text", "n_priority_text", "n_table", "n_caption", basis.alias("promotion_basis"), F.round(score, 4).alias("priority_score"), F.round(confidence, 4).alias("confidence"))
+
+
+def duplicate_regions(tables: DataFrame, cells: DataFrame, least: float = 0.8) -> DataFrame:
+    """(table_id, kept_id): tables of one page with the same cells of which one covers the other by ``least``; the smallest box is kept.
+
+    Only tables with equal contents are ever compared. Of boxes of one size the smallest id is kept; tables without a
+    box or a page are no duplicates.
+    """
     from tabloom.operators.geometry import overlap_share
 
     box = F.col("positioned_evidence.canonical_bbox")
-    one = tables.where(box.isNotNull()).groupBy("paper_id", "page_num", "table_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.min_by(box, "loaded_at").alias("box"))
-    other = one.select("paper_id", "page_num", F.col("table_id").alias("kept_id"), F.col("n_rows").alias("r"), F.col("n_cols").alias("c"), F.col("box").alias("kept_box"))
-    pairs = one.join(other, ["paper_id", "page_num"]).where((F.col("kept_id") < F.col("table_id")) & (F.col("r") == F.col("n_rows")) & (F.col("c") == F.col("n_cols")))
-    return pairs.where((overlap_share(F.col("box"), F.col("kept_box")) >= least) & (overlap_share(F.col("kept_box"), F.col("box")) >= least)).groupBy("table_id").agg(F.min("kept_id").alias("kept_id"))
+    content = cells.groupBy("table_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "clean")))), 256).alias("content"))
+    one = tables.where(box.isNotNull() & F.col("page_num").isNotNull()).groupBy("paper_id", "page_num", "table_id").agg(F.min_by(box, "loaded_at").alias("box")).join(content, "table_id")
+    one = one.withColumn("size", (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0")))
+    other = one.select("paper_id", "page_num", "content", F.col("table_id").alias("kept_id"), F.col("box").alias("kept_box"), F.col("size").alias("kept_size"))
+    better = F.struct("kept_size", "kept_id") < F.struct("size", "table_id")
+    pairs = one.join(other, ["paper_id", "page_num", "content"]).where((F.col("kept_id") != F.col("table_id")) & better)
+    shares = F.greatest(overlap_share(F.col("box"), F.col("kept_box")), overlap_share(F.col("kept_box"), F.col("box")))
+    return pairs.where(shares >= least).groupBy("table_id").agg(F.min_by("kept_id", F.struct("kept_size", "kept_id")).alias("kept_id"))
 
 
 def row_coverage_audit(rows: DataFrame, starts: DataFrame, variables: DataFrame, levels: DataFrame) -> DataFrame:

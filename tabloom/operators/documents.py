@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import ENTITIES, SPACE, label_text
+from tabloom.runtime import checkpoint
 
 # What a section's heading may begin with or hold, in order of preference.
 SECTION_HINTS = [
@@ -22,12 +21,12 @@ SECTION_HINTS = [
     ("conclusion_like", ["conclusion", "summary"]),
     ("references_like", ["reference", "bibliography", "works cited"]),
 ]
-#: A numbered entry of a reference list, and words of a term at most in the SQL; the search itself has no such bound.
+#: A numbered entry of a reference list.
 ENTRY = r"^(?:\[ *([0-9]{1,3}) *\]|([0-9]{1,3})[.)]) +(\S.*)$"
-TERM_WORDS = 6
-#: Bits of the filter that word sequences pass before they are joined with terms.
-FILTER_BITS = 1 << 18
-_WORDS = re.compile("[A-Za-z0-9]+")
+#: Bits of a word run's place in the filter that runs pass before they are joined with terms, and the weight of a byte's place.
+FILTER_BITS, _BASE = 18, 0x100000001B3
+_FOLD = np.full(256, 32, dtype=np.uint8)
+_FOLD[48:58], _FOLD[97:123], _FOLD[65:91] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -112,36 +111,72 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return term_hits(docs, known).groupBy("paper_id", "term").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
+class WordHashes:
+    """Words of texts in plain form, and the hash of any run of them: differences of a prefix sum of weighted bytes."""
+
+    def __init__(self, texts: list[str]):
+        for entity in ENTITIES:
+            texts = [t.replace(entity, " ") if "&" in t else t for t in texts]
+        encoded = [b" " + t.encode("utf-8", "replace") for t in texts]
+        first = np.concatenate(([0], np.cumsum([len(e) for e in encoded]))).astype(np.int64)
+        folded = _FOLD[np.frombuffer(b"".join(encoded), dtype=np.uint8)]
+        blank = folded == 32
+        kept = np.flatnonzero(~(blank & np.concatenate(([False], blank[:-1]))))
+        self.buffer = np.append(folded[kept], np.uint8(32))
+        space = self.buffer == 32
+        self.starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        self.ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        self.doc = np.searchsorted(np.searchsorted(kept, first), self.starts, side="right") - 1
+        powers, back = (np.cumprod(np.full(len(self.buffer), np.uint64(b), dtype=np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self._sum = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((self.buffer.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)))
+        self._back = back
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start, end, place in the filter) of every run of ``n`` words within one text."""
+        last = max(len(self.starts) - n + 1, 0)
+        whole = np.flatnonzero(self.doc[:last] == self.doc[n - 1 : n - 1 + last])
+        a, b = self.starts[whole], self.ends[whole + n - 1]
+        mixed = (self._sum[b] - self._sum[a]) * self._back[a] * np.uint64(0x9E3779B97F4A7C15)
+        return self.doc[whole], a, b, (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(paper_id, doc_id, term) of terms, as words, that a document of their paper holds, by equality of word sequences.
 
-    Word sequences whose checksums, forth and back, no term has are dropped where they are made, by bitmaps of FILTER_BITS
-    bits, whatever the number of terms; the join decides. Sequences are as long as the terms are. Null texts and papers give no rows.
+    Each text is scanned once for each length that terms have, all its word runs at a time; a run whose hash no term has
+    is dropped there, by a bitmap of 2 ** FILTER_BITS bits whatever the number of terms, and the join decides. Texts stay
+    in their tasks. Null texts and papers give no rows.
     """
-    known = terms.where("length(term) >= 3").select("paper_id", "term").distinct()
-    lengths = sorted(r[0] for r in known.select(F.size(F.split("term", " "))).distinct().collect())
-    bitmaps = np.zeros((2, FILTER_BITS), dtype=bool)
-    for bitmap, form in zip(bitmaps, (F.col("term"), F.reverse("term"))):
-        bitmap[[r[0] for r in known.select(F.pmod(F.crc32(F.encode(form, "utf-8")), F.lit(FILTER_BITS))).distinct().collect()]] = True
+    known = checkpoint(terms.where("length(term) >= 3 and paper_id is not null").select("paper_id", "term").distinct())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("term").to_pylist()
+            index = WordHashes(texts)
+            size = np.bincount(index.doc, minlength=len(texts))
+            for n in np.unique(size[size > 0]).tolist():
+                doc, _, _, place = index.runs(n)
+                place = np.unique(place[size[doc] == n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), n), pa.int32()), pa.array(place, pa.int64())], names=["words", "place"])
+
+    filtered = known.select("term").distinct().mapInArrow(places, "words int, place long").distinct().toPandas()  # at most 2 ** FILTER_BITS places a length
+    filters = {int(n): np.unique(part.to_numpy()) for n, part in filtered.groupby("words")["place"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forth, back = (bitmap.tobytes() for bitmap in bitmaps)
+        bitmaps = {}
+        for n, place in filters.items():
+            bitmaps[n] = np.zeros(1 << FILTER_BITS, dtype=bool)
+            bitmaps[n][place] = True
         for batch in batches:
-            owner, found = [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                for entity in ENTITIES:
-                    text = text.replace(entity, " ")
-                words = [w.lower() for w in _WORDS.findall(text)]
-                seen = set()
-                for n in lengths:
-                    for k in range(len(words) - n + 1):
-                        gram = " ".join(words[k : k + n])
-                        if forth[zlib.crc32(gram.encode()) % FILTER_BITS] and back[zlib.crc32(gram[::-1].encode()) % FILTER_BITS]:
-                            seen.add(gram)
-                found += seen
-                owner += [row] * len(seen)
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("paper_id").take(at), pa.array(found, pa.string())], names=["doc_id", "paper_id", "term"])
+            index = WordHashes(batch.column("text").to_pylist())
+            found: dict[tuple[int, bytes], None] = {}
+            for n, bitmap in bitmaps.items():
+                doc, a, b, place = index.runs(n)
+                hit = np.flatnonzero(bitmap[place])
+                for d, i, j in zip(doc[hit].tolist(), a[hit].tolist(), b[hit].tolist()):
+                    found[d, index.buffer[i:j].tobytes()] = None
+            at = pa.array([d for d, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("paper_id").take(at), pa.array([g.decode() for _, g in found], pa.string())], names=["doc_id", "paper_id", "term"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = docs.where("paper_id is not null and text is not null").select("doc_id", "paper_id", "text").mapInArrow(run, f"doc_id {kind}, paper_id string, term string")

@@ -11,6 +11,7 @@ from tabloom.operators import continuation as C
 from tabloom.operators import documents as D
 from tabloom.operators import grid as G
 from tabloom.operators import quality as Q
+from tabloom.operators import texts as P
 from tabloom.plans.grid_queries import _C, _cells, _roles, _rows
 from tabloom.plans.note_queries import SQL as _NOTES
 from tabloom.plans.note_queries import jon15_note_links
@@ -50,6 +51,19 @@ def txt11_variable_inventory(s: SparkSession, d: str) -> DataFrame:
     return X.variable_inventory(table(s, d, "def_variable"), table(s, d, "ext_table"), table(s, d, "documents"))
 
 
+def txt11_variable_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Variables of each paper by all their mentions, with basis and scores."""
+    variables, tables = table(s, d, "def_variable"), table(s, d, "ext_table")
+    classes = P.mention_classes(variables, table(s, d, "def_level"), tables.select("table_id", "paper_id"), X.canonical_label(F.col("variable_label")))
+    groupings = Q.grouping(tables, _roles(s, d)).select("table_id", "grouping_label").where("grouping_label is not null").distinct()
+    return X.variable_candidates(variables, classes, tables, groupings, table(s, d, "documents"))
+
+
+def r9_priority_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of at least 0.9 priority, per paper and basis."""
+    return txt11_variable_candidates(s, d).where("priority_score >= 0.9").groupBy("paper_id", "promotion_basis").agg(F.count("*").alias("n_candidates"))
+
+
 def txt13_canonical_labels(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "def_variable").select("variable_label", X.canonical_label(F.col("variable_label")).alias("canonical")).distinct()
 
@@ -57,7 +71,7 @@ def txt13_canonical_labels(s: SparkSession, d: str) -> DataFrame:
 def ext6_duplicate_regions(s: SparkSession, d: str) -> DataFrame:
     """Per paper the tables with a box, and those that repeat another's region."""
     tables = table(s, d, "ext_table")
-    again = X.duplicate_regions(tables)
+    again = X.duplicate_regions(tables, _cells(s, d))
     own = tables.where("positioned_evidence.canonical_bbox is not null").select("paper_id", "table_id").distinct()
     return own.join(again, "table_id", "left").groupBy("paper_id").agg(F.count("*").alias("n_tables"), F.count("kept_id").alias("n_repeated"))
 
@@ -106,18 +120,20 @@ SQL: dict[str, str] = {
       select doc_id, s[at_] as sentence, array_to_string(s[greatest(at_ - 1, 1):least(at_ + 1, len(s))], ' ') as anchor from p where at_ > 0""",
     "txt10_table_context": f"""with t as (select distinct x.paper_id, v.table_id, {_TERM_SQL} as term from def_variable v join (select distinct table_id, paper_id from ext_table) x using (table_id)), own as (select * from t where term <> ''),
       sz as (select table_id, count(*) as n_terms from own group by 1), b as (select doc_id, paper_id, role_hint, {_BODY_SQL} as body from documents where text is not null and role_hint in ('methods_like', 'results_like')),
-      h as (select o.table_id, b.doc_id, b.role_hint, count(*) as n_held from own o join b on b.paper_id = o.paper_id and contains(b.body, ' ' || o.term || ' ') where length(o.term) >= 3 and len(string_split(o.term, ' ')) <= {D.TERM_WORDS} group by all),
+      h as (select o.table_id, b.doc_id, b.role_hint, count(*) as n_held from own o join b on b.paper_id = o.paper_id and contains(b.body, ' ' || o.term || ' ') where length(o.term) >= 3 group by all),
       r as (select table_id, doc_id, round(n_held / n_terms + case when role_hint = 'methods_like' then 0.2 else 0.1 end, 4) as score from h join sz using (table_id))
       select table_id, doc_id, score, row_number() over (partition by table_id order by score desc, doc_id) as rank from r qualify rank <= {X.PASSAGES}""",
     "txt11_variable_inventory": f"""with t as (select x.paper_id, {_TERM_SQL} as label, count(distinct v.table_id) as n_tables from def_variable v join (select distinct table_id, paper_id from ext_table) x using (table_id) where variable_label is not null group by all),
       k as (select * from t where label <> ''), b as (select doc_id, paper_id, {_BODY_SQL} as body from documents where text is not null),
-      h as (select k.paper_id, k.label, count(distinct doc_id) as n_docs from k join b on b.paper_id = k.paper_id and contains(b.body, ' ' || k.label || ' ') where length(label) >= 3 and len(string_split(label, ' ')) <= {D.TERM_WORDS} group by all)
+      h as (select k.paper_id, k.label, count(distinct doc_id) as n_docs from k join b on b.paper_id = k.paper_id and contains(b.body, ' ' || k.label || ' ') where length(label) >= 3 group by all)
       select k.paper_id, k.label, n_tables, coalesce(n_docs, 0) as n_docs, n_tables >= 2 or coalesce(n_docs, 0) > 0 as promoted from k left join h using (paper_id, label)""",
     "txt13_canonical_labels": f"select distinct variable_label, {_CANON_SQL} as canonical from def_variable",
-    "ext6_duplicate_regions": """with o as (select paper_id, page_num, table_id, max(n_rows) as r, max(n_cols) as c, min_by(positioned_evidence.canonical_bbox, loaded_at) as b from ext_table where positioned_evidence.canonical_bbox is not null group by 1, 2, 3),
-      p as (select a.table_id, min(z.table_id) as kept_id from o a join o z on a.paper_id = z.paper_id and a.page_num = z.page_num and z.table_id < a.table_id and a.r = z.r and a.c = z.c
+    "ext6_duplicate_regions": _C + """, g as (select table_id, string_agg(row_idx || chr(1) || col_idx || chr(1) || clean, chr(2) order by row_idx, col_idx) as content from c group by table_id),
+      o as (select paper_id, page_num, table_id, min_by(positioned_evidence.canonical_bbox, loaded_at) as b from ext_table where positioned_evidence.canonical_bbox is not null and page_num is not null group by 1, 2, 3),
+      s as (select o.*, content, (b.x1 - b.x0) * (b.y1 - b.y0) as size from o join g using (table_id)),
+      p as (select a.table_id, min_by(z.table_id, {'s': z.size, 'i': z.table_id}) as kept_id from s a join s z on a.paper_id = z.paper_id and a.page_num = z.page_num and z.content = a.content and (z.size < a.size or (z.size = a.size and z.table_id < a.table_id))
         where (least(a.b.x1, z.b.x1) - greatest(a.b.x0, z.b.x0)) > 0 and (least(a.b.y1, z.b.y1) - greatest(a.b.y0, z.b.y0)) > 0
-        and (least(a.b.x1, z.b.x1) - greatest(a.b.x0, z.b.x0)) * (least(a.b.y1, z.b.y1) - greatest(a.b.y0, z.b.y0)) >= 0.8 * greatest((a.b.x1 - a.b.x0) * (a.b.y1 - a.b.y0), (z.b.x1 - z.b.x0) * (z.b.y1 - z.b.y0)) group by 1)
+        and (least(a.b.x1, z.b.x1) - greatest(a.b.x0, z.b.x0)) * (least(a.b.y1, z.b.y1) - greatest(a.b.y0, z.b.y0)) >= 0.8 * least(a.size, z.size) group by 1)
       select paper_id, count(*) as n_tables, count(kept_id) as n_repeated from (select distinct paper_id, table_id from ext_table where positioned_evidence.canonical_bbox is not null) left join p using (table_id) group by 1""",
     "r10_row_coverage": _C + """, b as (select r.table_id, r.row_idx from rows r join starts using (table_id) where row_idx >= body_start), f as (select distinct table_id, row_start as row_idx from def_variable union select distinct table_id, row_idx from def_level)
       select coalesce(b.table_id, f.table_id) as table_id, case when b.table_id is not null and f.table_id is not null then 'both' when b.table_id is not null then 'row_only' else 'definition_only' end as status, count(*) as n_rows
@@ -129,4 +145,4 @@ SQL: dict[str, str] = {
     "r7_note_links": "with l as (" + _NOTES["jon15_note_links"] + ") select table_id, glyph, status, count(*) as n_markers from l group by all",
     "chk1_column_schema": _C + "select table_id, min(col_idx) = 0 and max(col_idx) = count(*) - 1 as contiguous, count(*) - count(distinct header) as n_repeated, count(*) filter (where header = '') as n_blank from roles group by 1",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (txt6_reference_windows, txt10_table_passages)}
+QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in (txt6_reference_windows, txt10_table_passages, txt11_variable_candidates, r9_priority_candidates)}

@@ -148,7 +148,7 @@ SQL: dict[str, str] = {
     "flt3_furniture": _FURNITURE + " select * from marks",
     "flt5_unmasked_lines": _FURNITURE + " select doc_id, count(*) as n_lines from shown s where template <> '' and not exists (select 1 from marks m where m.paper_id = s.paper_id and m.template = s.template) group by doc_id",
     "txt14_term_documents": f"""with t as (select distinct x.paper_id, lower({T.sql_label('v.variable_label')}) as term from def_variable v join (select distinct table_id, paper_id from ext_table) x using (table_id)),
-      k as (select * from t where length(term) >= 3 and len(string_split(term, ' ')) <= {D.TERM_WORDS}),
+      k as (select * from t where length(term) >= 3),
       b as (select doc_id, paper_id, ' ' || lower({T.sql_label('text')}) || ' ' as body from documents where text is not null)
       select k.paper_id, k.term, count(distinct doc_id) as n_docs from k join b on b.paper_id = k.paper_id and contains(b.body, ' ' || k.term || ' ') group by all""",
 }
