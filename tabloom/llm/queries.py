@@ -13,7 +13,7 @@ from tabloom.llm.encoding import restore_encoding
 from tabloom.llm.leakage import find_leaks
 from tabloom.llm.linking import link_values
 from tabloom.llm.packing import CAPACITY, pack
-from tabloom.runtime import table
+from tabloom.runtime import checkpoint, table
 
 
 def _p2_links(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,17 @@ def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers, the fewest that could do, unused share of their room, overfull ones, documents whose tokens aren't placed once."""
+    pieces = checkpoint(p8_assignment(spark, d))
+    boxes = pieces.where("container_id is not null").groupBy("container_id").agg(F.sum("piece_tokens").alias("held"))
+    whole = pieces.groupBy("doc_id", "n_tokens").agg(F.sum("piece_tokens").alias("placed"), F.count("*").alias("n"), F.max("n_pieces").alias("n_pieces"))
+    sums = boxes.agg(F.count("*").alias("n_containers"), F.sum("held").alias("n_tokens"), F.count_if(F.col("held") > CAPACITY).alias("n_overfull"))
+    faults = whole.agg(F.count_if((F.col("placed") != F.col("n_tokens")) | (F.col("n") != F.col("n_pieces"))).alias("n_misplaced"))
+    least = F.ceil(F.col("n_tokens") / CAPACITY)
+    return sums.join(F.broadcast(faults)).select("n_containers", least.alias("fewest"), F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 6).alias("unused_share"), "n_overfull", "n_misplaced")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
 
@@ -83,7 +94,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_merged_texts, p7_found, p7_group_sizes, p8_found, p8_assignment, p9_found, p9_leaked_items, p10_found, p10_restored)
+    f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_merged_texts, p7_found, p7_group_sizes, p8_found, p8_assignment, p8_fill, p9_found, p9_leaked_items, p10_found, p10_restored)
 }
 
 _P7 = """
