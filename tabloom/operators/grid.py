@@ -76,6 +76,7 @@ def column_roles(headers: DataFrame) -> DataFrame:
     m, low = F.col("match_text"), F.lower("header")
     last, near = F.col("col_idx") == F.col("n_cols") - 1, F.col("col_idx") >= F.greatest(F.lit(0), F.col("n_cols") - 2)
     is_p = m.rlike("^p(?: *value| +for +trend| *trend)?$") & ~((m == "p") & ~near)
+    # The ladder of roles and their confidences.
     rules: list[tuple[Column, str, Column]] = [
         (F.col("header") == "", "unknown", F.lit(0.4)),
         (is_p, "p_value", F.when(last, 0.98).when(near, 0.94).otherwise(0.85)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.headers import caption_parts
+
 # Words that tell descriptive tables, estimates, models and effect measures.
 DESCRIPTIVE = r"(?i)\b(?:baseline|characteristics?|clinical characteristics|demographic)\b"
 ESTIMATE = r"(?i)\b(?:hazard ratio|odds ratio|relative risk|risk ratio|association|regression|multivariable|cox|logistic|linear)\b"
@@ -12,6 +14,8 @@ MODEL = r"(?i)\b(?:adjusted|unadjusted|model *[0-9]+)\b"
 EFFECT = r"(?i)\b(?:hazard ratio|odds ratio|relative risk|risk ratio|95% *ci|confidence interval|hr\b|or\b|rr\b)\b"
 SUMMARY = r"(?i)\b(?:mean|sd|median|iqr|range|min|max)\b"
 GROUPED_BY = r"(?i)\b(?:stratified +)?by +(.+?)(?:[.;]|$)"
+#: An estimate with its interval and note marks.
+ESTIMATE_INTERVAL = r"(?i)^-?[0-9]+(?:\.[0-9]+)? *,? *[(\[] *-?[0-9]+(?:\.[0-9]+)? *[,-] *-?[0-9]+(?:\.[0-9]+)? *[)\]] *(?:[*†‡§¶#{}|]+|[a-z])*$"
 RECOGNISED = ["count_pct", "mean_sd", "median_iqr", "n_only", "p_value"]
 
 
@@ -48,7 +52,10 @@ def scalar_count_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def table_profiles(tables: DataFrame, cells: DataFrame, roles: DataFrame, levels: DataFrame) -> DataFrame:
-    """Per table the descriptive and estimate scores, the family, and its confidence. ``cells`` carry ``family``."""
+    """Per table the descriptive and estimate scores, the family, and its confidence. ``cells`` carry ``family``.
+
+    Points and confidences are fixed values, the latter in hundredths so that sums are exact.
+    """
     caption = tables.groupBy("table_id").agg(F.coalesce(F.min("caption"), F.lit("")).alias("caption"))
     heads = roles.groupBy("table_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), lambda x: x["header"]), " ").alias("headers"),
@@ -56,7 +63,7 @@ def table_profiles(tables: DataFrame, cells: DataFrame, roles: DataFrame, levels
     )
     body = cells.where("col_idx > 0 and clean <> ''").groupBy("table_id").agg(
         F.count_if(F.col("family").isin("count_pct", "mean_sd", "median_iqr", "n_only")).alias("n_descriptive"), F.count_if(F.col("family") == "count_pct").alias("n_count_pct"), F.count_if(F.col("family") == "p_value").alias("n_p"),
-        F.count_if(F.col("clean").rlike(r"^-?[0-9]+(?:\.[0-9]+)? *,? *[(\[] *-?[0-9]+(?:\.[0-9]+)? *(?:,|-) *-?[0-9]+(?:\.[0-9]+)? *[)\]]$")).alias("n_intervals"),
+        F.count_if(F.col("clean").rlike(ESTIMATE_INTERVAL)).alias("n_intervals"),
     )
     with_levels = levels.select("table_id").distinct().withColumn("has_levels", F.lit(True))
     t = caption.join(heads, "table_id", "left").join(body, "table_id", "left").join(with_levels, "table_id", "left").fillna({"headers": "", "n_p_columns": 0, "n_descriptive": 0, "n_count_pct": 0, "n_p": 0, "n_intervals": 0}).fillna({"has_group": False, "has_levels": False})
@@ -71,9 +78,20 @@ def table_profiles(tables: DataFrame, cells: DataFrame, roles: DataFrame, levels
     return t.select("table_id", "descriptive", "estimate", family.alias("family"), (points / 100).alias("confidence"))
 
 
+# What each sign adds to the likelihood that a grid is a table.
+CAPTION, TABLE_ONE, TEXT_STUB, NUMBERS, RECTANGLE, SHAPE = 0.4, 0.05, 0.25, 0.2, 0.1, 0.05
+
+
 def candidate_scores(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per table how much it looks like one, in hundredths: caption, Table 1, text stub, numeric body, rectangular, shape."""
-    caption = tables.groupBy("table_id").agg(F.min("caption").alias("caption"))
+    """Per table how much it looks like one, from 0 to 1: caption, Table 1, text stub, numeric body, rectangular, shape.
+
+    Without a caption of its own the first line of the first cell may be one.
+    """
+    first = cells.where("row_idx = 0 and col_idx = 0").select("table_id", F.trim(F.element_at(F.split(F.trim("text"), "\n"), 1)).alias("first_line"))
+    caption = tables.groupBy("table_id").agg(F.min("caption").alias("caption")).join(first, "table_id", "left")
+    line = F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.col("first_line"))
+    lines = F.transform(F.split(line, "\n"), lambda x: caption_parts(F.trim(x))[0])
+    number = F.get(F.array_compact(lines), F.lit(0))
     rows = cells.groupBy("table_id", "row_idx").agg(F.count("*").alias("n_cells"))
     shape = rows.groupBy("table_id").agg(F.count("*").alias("n_rows"), F.max("n_cells").alias("n_cols"), (F.min("n_cells") == F.max("n_cells")).alias("rectangular"))
     filled = F.col("clean") != ""
@@ -81,13 +99,13 @@ def candidate_scores(tables: DataFrame, cells: DataFrame) -> DataFrame:
     shares = cells.groupBy("table_id").agg(
         (F.count_if(stub & F.col("clean").rlike("[A-Za-z]")) / F.nullif(F.count_if(stub), F.lit(0))).alias("text_share"), (F.count_if(body & F.col("clean").rlike("[0-9]")) / F.nullif(F.count_if(body), F.lit(0))).alias("number_share")
     )
-    t = caption.join(shape, "table_id", "left").join(shares, "table_id", "left")
-    one = lambda test, points: F.when(test, points).otherwise(0)
+    t = caption.withColumn("number", number).join(shape, "table_id", "left").join(shares, "table_id", "left")
+    one = lambda test, worth: F.when(test, worth).otherwise(0.0)
     score = (
-        one(F.col("caption").rlike(r"(?i)^table +s?[0-9]+"), 40) + one(F.col("caption").rlike(r"(?i)^table +1\b"), 5) + one(F.col("text_share") >= 0.6, 25) + one(F.col("number_share") >= 0.5, 20)
-        + one(F.col("rectangular"), 10) + one((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2), 5)
+        one(F.col("number").isNotNull(), CAPTION) + one(F.col("number") == "1", TABLE_ONE) + one(F.col("text_share") >= 0.6, TEXT_STUB) + one(F.col("number_share") >= 0.5, NUMBERS)
+        + one(F.col("rectangular"), RECTANGLE) + one((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2), SHAPE)
     )
-    return t.select("table_id", F.least(F.lit(100), score).alias("score"))
+    return t.select("table_id", F.round(F.least(F.lit(1.0), score), 4).alias("score"))
 
 
 def quality_items(cells: DataFrame, rows: DataFrame, roles: DataFrame, starts: DataFrame) -> DataFrame:

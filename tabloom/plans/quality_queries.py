@@ -152,11 +152,14 @@ SQL: dict[str, str] = {
       select l.table_id, count(*) as n_rows, count(*) filter (where ok.table_id is not null and label_norm <> '' and len(string_split(label_norm, ' ')) <= 2 and length(label_norm) <= 16) as n_scalar from labels l left join ok on ok.table_id = l.table_id and ok.row_idx = l.row_idx group by 1""",
     "agg1_table_profiles": _PROFILE + "select table_id, descriptive, estimate, family, case when family = 'unknown' then least(75, 35 + 5 * greatest(descriptive, estimate)) else least(98, 55 + 8 * greatest(descriptive, estimate) + 3 * abs(descriptive - estimate)) end / 100 as confidence from profiles",
     "r8_processing_summary": _PROFILE + "select paper_id, family, count(distinct table_id) as n_tables from profiles join (select distinct table_id, paper_id from ext_table) using (table_id) group by all",
-    "ext1_candidate_scores": _C + """, cap as (select table_id, min(caption) as caption from ext_table group by 1), r as (select table_id, row_idx, count(*) as n from c group by all),
-      sh as (select table_id, count(*) as n_rows, max(n) as n_cols, min(n) = max(n) as rectangular from r group by 1),
+    "ext1_candidate_scores": _C + r""", one as (select table_id, min(caption) as caption from ext_table group by 1), fc as (select table_id, trim(string_split(trim(text), chr(10))[1]) as first_line from c where row_idx = 0 and col_idx = 0),
+      ln as (select table_id, unnest(range(len(string_split(coalesce(nullif(caption, ''), first_line), chr(10))))) as k, trim(unnest(string_split(coalesce(nullif(caption, ''), first_line), chr(10)))) as line from one left join fc using (table_id)),
+      nm as (select table_id, k, regexp_extract(line, '(?i)^\s*table\s*([A-Za-z0-9.]*\d[A-Za-z0-9]*(?:\.[A-Za-z0-9]+)*)\b', 1) as number, trim(regexp_replace(line, '(?i)^\s*table\s*([A-Za-z0-9.]*\d[A-Za-z0-9]*(?:\.[A-Za-z0-9]+)*)\b(?:\s*[:.])?', '')) as rest from ln),
+      cap as (select table_id, arg_min(number, k) as number from nm where number <> '' and not regexp_matches(rest, '(?i)^(displays?|shows?|presents?|describes?|illustrates?|reports?|lists?|contains?|summarizes?|compares?|demonstrates?|highlights?|details?|examines?|provides?|gives?|outlines?|depicts?|indicates?|reveals?)\b') group by 1),
+      r as (select table_id, row_idx, count(*) as n from c group by all), sh as (select table_id, count(*) as n_rows, max(n) as n_cols, min(n) = max(n) as rectangular from r group by 1),
       p as (select table_id, count(*) filter (where clean <> '' and col_idx = 0 and regexp_matches(clean, '[A-Za-z]')) / nullif(count(*) filter (where clean <> '' and col_idx = 0), 0) as ts, count(*) filter (where clean <> '' and col_idx > 0 and regexp_matches(clean, '[0-9]')) / nullif(count(*) filter (where clean <> '' and col_idx > 0), 0) as ns from c group by 1)
-      select table_id, cast(least(100, case when regexp_matches(caption, '(?i)^table +s?[0-9]+') then 40 else 0 end + case when regexp_matches(caption, '(?i)^table +1\\b') then 5 else 0 end + case when ts >= 0.6 then 25 else 0 end + case when ns >= 0.5 then 20 else 0 end
-        + case when rectangular then 10 else 0 end + case when n_rows >= 2 and n_cols >= 2 then 5 else 0 end) as integer) as score from cap left join sh using (table_id) left join p using (table_id)""",
+      select table_id, round(cast(least(1.0, case when number is not null then 0.4 else 0 end + case when number = '1' then 0.05 else 0 end + case when ts >= 0.6 then 0.25 else 0 end + case when ns >= 0.5 then 0.2 else 0 end
+        + case when rectangular then 0.1 else 0 end + case when n_rows >= 2 and n_cols >= 2 then 0.05 else 0 end) as double), 4) as score from one left join cap using (table_id) left join sh using (table_id) left join p using (table_id)""",
     "agg3_quality_items": _FAM + """, b as (select f.* from f join starts using (table_id) where f.row_idx >= body_start and col_idx > 0),
       col as (select b.table_id, b.col_idx, count(*) as n, count(*) filter (where clean <> '') as nf, count(*) filter (where clean <> '' and family in ('count_pct', 'mean_sd', 'median_iqr', 'n_only', 'p_value')) as nk, count(*) filter (where clean <> '' and family = 'p_value') as np from b group by all),
       j as (select col.*, r.role from col left join roles r on r.table_id = col.table_id and r.col_idx = col.col_idx), t as (select table_id, sum(nf) as n, sum(nk) as k from col group by 1 having sum(nf) >= 6)
