@@ -63,3 +63,46 @@ def merged_rows(groups: DataFrame, rows: DataFrame, starts: DataFrame) -> DataFr
     own = rows.select("table_id", "row_idx").join(groups.select("table_id", "base_id", "part"), "table_id").join(starts.select("table_id", "body_start"), "table_id", "left")
     kept = own.where((F.col("part") == 1) | (F.col("row_idx") >= F.col("body_start")))
     return kept.select("base_id", "table_id", "row_idx", (F.row_number().over(Window.partitionBy("base_id").orderBy("part", "row_idx")) - 1).alias("merged_idx"))
+
+
+def resolved_tables(groups: DataFrame, checks: DataFrame) -> DataFrame:
+    """(table_id, resolved_id, role, n_fragments): tables of a number joined with those whose columns agreed with their parent's.
+
+    ``groups`` are those of continuation_groups; ``checks``: table_id, check. A continuation whose check isn't ``match``
+    stands alone from there on. role: base, continuation or single.
+    """
+    own = groups.join(checks.select("table_id", F.col("check").alias("fits")).distinct(), "table_id", "left")
+    apart = (F.col("part") == 1) | ~F.coalesce(F.col("fits") == "match", F.lit(False))
+    order = Window.partitionBy("base_id").orderBy("part")
+    runs = own.withColumn("piece", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("base_id", "piece")
+    out = runs.withColumn("resolved_id", F.first("table_id").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_fragments", F.count("*").over(whole))
+    role = F.when(F.col("n_fragments") == 1, "single").when(F.col("table_id") == F.col("resolved_id"), "base").otherwise("continuation")
+    return out.select("table_id", "resolved_id", role.alias("role"), "n_fragments")
+
+
+def integrated_variables(resolved: DataFrame, groups: DataFrame, variables: DataFrame) -> DataFrame:
+    """(resolved_id, table_id, variable_id, row_start, place): the variables of a table's fragments in one order. Copies count once."""
+    parts = resolved.join(groups.select("table_id", "part"), "table_id")
+    own = variables.select("table_id", "variable_id", "row_start").distinct().join(parts.select("table_id", "resolved_id", "part"), "table_id")
+    return own.select("resolved_id", "table_id", "variable_id", "row_start", "part", (F.row_number().over(Window.partitionBy("resolved_id").orderBy("part", "row_start", "variable_id")) - 1).alias("place"))
+
+
+def boundary_decisions(integrated: DataFrame, variables: DataFrame, levels: DataFrame) -> DataFrame:
+    """(resolved_id, table_id, variable_id, decision): what the first variable of a continuation is to the last one before it.
+
+    ``repeated_head``: it has the same label; ``attach``: it has no levels of its own while that one has, and isn't one of
+    them already; ``duplicate_level``: that one has a level of this label; else ``separate``.
+    """
+    label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    named = variables.groupBy("variable_id").agg(F.min(label(F.col("variable_label"))).alias("label"))
+    counts = levels.groupBy("variable_id").agg(F.countDistinct("level_id").alias("n_levels"), F.collect_set(label(F.col("level_label"))).alias("level_labels"))
+    told = integrated.join(named, "variable_id").join(counts, "variable_id", "left").withColumn("n_levels", F.coalesce("n_levels", F.lit(0)))
+    order = Window.partitionBy("resolved_id").orderBy("place")
+    before = {n: F.lag(n).over(order) for n in ("table_id", "label", "n_levels", "level_labels")}
+    edge = told.select("*", *[c.alias(f"prior_{n}") for n, c in before.items()]).where("prior_table_id is not null and prior_table_id <> table_id")
+    decision = (
+        F.when(F.col("label") == F.col("prior_label"), "repeated_head").when(F.coalesce(F.array_contains("prior_level_labels", F.col("label")), F.lit(False)), "duplicate_level")
+        .when((F.col("n_levels") == 0) & (F.col("prior_n_levels") > 0), "attach").otherwise("separate")
+    )
+    return edge.select("resolved_id", "table_id", "variable_id", decision.alias("decision"))

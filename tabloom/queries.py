@@ -11,7 +11,7 @@ from tabloom.operators.nested import boundary_nodes, grid_cells
 from tabloom.operators.packed import split_packed
 from tabloom.operators.references import find_orphans
 from tabloom.operators.units import assign_units, common_values, converted_values, hidden_unit_report, measured_variables, printed_values
-from tabloom.plans import context_queries, grid_queries, note_queries, paper_queries, quality_queries, row_queries, header_queries
+from tabloom.plans import context_queries, grid_queries, note_queries, paper_queries, quality_queries, row_queries, header_queries, paper_note_queries
 from tabloom.runtime import reference_rows, table
 
 
@@ -128,6 +128,6 @@ select distinct table_id, cast(pos1 as integer) as pos1, cast(pos2 as integer) a
 from c where line[pos2 + 1] is not null""",
 }
 
-for _module in (grid_queries, paper_queries, quality_queries, note_queries, context_queries, row_queries, header_queries):
+for _module in (grid_queries, paper_queries, quality_queries, note_queries, context_queries, row_queries, header_queries, paper_note_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
