@@ -219,6 +219,25 @@ SQL: dict[str, str] = {
     select table_id, n_cells, n_text, n_values, coalesce(has_signal, false) and table_id not in (select table_id from def_variable) and n_cols >= 2 and n_body >= 2 and n_cells >= 6 and n_trailing >= greatest(3, n_body) and n_text / n_cells >= 0.8 and n_values <= greatest(1, floor(n_cells * 0.15)) as is_text_only
     from k join b using (table_id) left join g using (table_id)""",
     "chk4_profiles": "select count(*) as n_rows, count(*) filter (where coalesce(trim(table_id), '') = '') as n_without_id from ext_table",
+    "txt5_paragraphs": f"""with p as (select doc_id, regexp_split_to_array(text, '\\n\\s*\\n') as parts from documents where text is not null), u as (select doc_id, unnest(range(len(parts))) as part_no, unnest(parts) as raw from p),
+    c as (select doc_id, part_no, coalesce({T.sql_clean('raw')}, '') as part from u), m as (select *, regexp_extract(part, '(?i)\\bTable\\s+[A-Za-z]?\\d+[A-Za-z]?\\b.{{0,240}}?\\|') as hit from c), w as (select *, case when hit = '' then 0 else strpos(part, hit) end as place from m),
+    e as (select *, place > 0 and not regexp_matches(trim(substr(part, greatest(1, place - 120), least(120, place - 1))), '(?i)(\\b(shown|presented|reported|summari[sz]ed|listed|described|displayed|provided|given|seen)\\s+in\\s*$|\\b(see|refer\\s+to|according\\s+to)\\s*$)')
+      and (length(substr(part, place)) - length(replace(substr(part, place), '|', '')) >= 8 or regexp_matches(substr(part, place), '\\|\\s*-{{3,}}\\s*\\|')) as ends from w),
+    k as (select doc_id, part_no, case when ends then trim(substr(part, 1, place - 1)) else part end as part from e)
+    select doc_id, row_number() over (partition by doc_id order by part_no) - 1 as paragraph_index, length(part) as n_chars from k where part <> '' and length(part) - length(replace(part, '|', '')) < 8 and not regexp_matches(part, '\\|\\s*-{{3,}}\\s*\\|')""",
+    "txt12_mention_classes": f"""with hints(parent, key) as (values ('sex', 'male'), ('sex', 'female'), ('gender', 'male'), ('gender', 'female'), ('smoking status', 'never'), ('smoking status', 'former'), ('smoking status', 'current'),
+      ('drinking status', 'never'), ('drinking status', 'former'), ('drinking status', 'current'), ('marital status', 'married'), ('marital status', 'living'), ('marital status', 'living with partner'), ('marital status', 'single'), ('marital status', 'divorced'), ('marital status', 'separated'), ('marital status', 'widowed'),
+      ('race', 'mexican'), ('race', 'non hispanic'), ('race', 'other'), ('race', 'other multiracial'), ('race', 'white'), ('race', 'black'), ('educational level', 'less'), ('educational level', 'college'), ('educational level', 'high'), ('educational level', 'less than high school'), ('educational level', 'high school'), ('educational level', 'college or above')),
+    papers as (select table_id, min(paper_id) as paper_id from ext_table group by 1),
+    v as (select distinct variable_id, table_id, coalesce({T.sql_clean('variable_label')}, '') as cleaned, lower({T.sql_label("coalesce(variable_label, '')")}) as key from def_variable),
+    o as (select v.*, paper_id from v left join papers using (table_id)), lv as (select distinct table_id, lower({T.sql_label('level_label')}) as key from def_level), lp as (select distinct paper_id, key from lv join papers using (table_id)),
+    ex as (select distinct o.paper_id, h.key from o join hints h on h.parent = o.key),
+    t as (select *, len(list_filter(string_split(key, ' '), lambda w: w <> '')) as n_words, len(list_filter(string_split(key, ' '), lambda w: w in ('age', 'bmi', 'diabetes', 'drinking', 'educational', 'education', 'gender', 'hypertension', 'marital', 'physical', 'pir', 'race', 'sex', 'smoking', 'status'))) as n_adjusted,
+      exists (select 1 from lv where lv.table_id = o.table_id and lv.key = o.key and o.key <> '') or exists (select 1 from lp where lp.paper_id = o.paper_id and lp.key = o.key and o.key <> '') as is_level, exists (select 1 from ex where ex.paper_id = o.paper_id and ex.key = o.key) as is_explained from o)
+    select distinct variable_id, case when cleaned = '' then 'artifact' when regexp_matches(cleaned, '(?i)^table\\s+[A-Za-z0-9.]*\\d[A-Za-z0-9.]*.*continued') or regexp_matches(replace(cleaned, '__', '_'), '(?i)^model[\\s_-]*\\d+$') then 'artifact'
+      when regexp_matches(cleaned, '(?i)\\breference\\b') and regexp_matches(key, 'yes|no|reference') then 'artifact' when length(cleaned) - length(replace(cleaned, ',', '')) >= 3 and length(cleaned) >= 30 then 'artifact' when n_words >= 5 and n_adjusted >= 4 then 'artifact'
+      when is_level then 'level' when regexp_matches(replace(cleaned, ' ', '_'), '(?i)^(q\\d+|quartile[\\s_-]*\\d+|quintile[\\s_-]*\\d+)$') or regexp_matches(key, 'quintile|quartile') then 'level'
+      when regexp_full_match(replace(cleaned, ' ', ''), '([<>]=?)?\\d+(\\.\\d+)?(-\\d+(\\.\\d+)?\\+?)?') then 'range_bin' when is_explained then 'level' when length(replace(key, ' ', '')) >= 3 then 'variable' when regexp_matches(cleaned, '\\p{{L}}') then 'unknown' else 'artifact' end as mention_class from t""",
     "txt7_table_visuals": _TABLES + " select * from tv",
     "txt8_figure_visuals": "with " + _FIGURES + " select * from fv",
     "txt9_visual_inventory": _TABLES + ", " + _FIGURES + " select *, paper_id || '-' || visual_kind || '-' || lower(number) as visual_id, n_sources > 1 as is_ambiguous from (select * from tv union all select * from fv)",
