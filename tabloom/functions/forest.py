@@ -12,17 +12,23 @@ class CalibratedForest:
         self.trees, self.classes, self.temperature = trees, classes, temperature
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ids: np.ndarray, n_trees: int = 24, depth: int = 6, least: int = 3, held_out: int = 5) -> CalibratedForest:
-        """Rows whose id is divisible by ``held_out`` only calibrate. The same rows give the same forest."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, ids: np.ndarray, n_trees: int = 24, depth: int = 6, least: int = 3, held_out: int = 5, rows_per_tree: int = 20_000) -> CalibratedForest:
+        """Rows whose id is divisible by ``held_out`` only calibrate. The same rows give the same forest.
+
+        A tree grows on at most ``rows_per_tree`` rows, drawn anew for each.
+        """
         x = np.nan_to_num(x)
         classes = np.unique(y)
         codes = np.searchsorted(classes, y)
         calibrate = ids % held_out == 0
         if calibrate.all() or not calibrate.any() or len(y) < 20:
             calibrate = np.zeros(len(y), dtype=bool)
-        train = ~calibrate
+        train = np.flatnonzero(~calibrate)
         rng = np.random.default_rng(7)
-        trees = [cls._grow(x[train], codes[train], len(classes), depth, least, rng) for _ in range(n_trees)]
+        trees = []
+        for _ in range(n_trees):
+            own = train if len(train) <= rows_per_tree else rng.choice(train, rows_per_tree, replace=False)
+            trees.append(cls._grow(x[own], codes[own], len(classes), depth, least, rng))
         forest = cls(trees, classes, 1.0)
         if calibrate.any():
             raw = forest._raw(x[calibrate])
