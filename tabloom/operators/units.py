@@ -297,7 +297,7 @@ def assign_units(variables: DataFrame, cells: DataFrame, canon: DataFrame, unit_
     first. Null labels and labels without quantity give no row. ``measured``: what measured_variables gave, if that is known.
     """
     measured = measured_variables(variables, canon, unit_ref) if measured is None else measured
-    rows = checkpoint(_features(recorded_units(measured, cells, unit_ref), unit_ref))
+    rows = checkpoint(_features(checkpoint(recorded_units(measured, cells, unit_ref)), unit_ref))
     model = UnitModel(_sample(_labelled(rows), training_rows), _known_units(unit_ref))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,7 +326,7 @@ def hidden_unit_report(variables: DataFrame, cells: DataFrame, canon: DataFrame,
     Variables with one plainly recorded unit whose id is divisible by 5 are held out of training and judged with all that
     they record hidden. n_right and mean_probability (of the confident ones) agree if the forest is calibrated.
     """
-    rows = checkpoint(_features(recorded_units(measured_variables(variables, canon, unit_ref), cells, unit_ref), unit_ref))
+    rows = checkpoint(_features(checkpoint(recorded_units(measured_variables(variables, canon, unit_ref), cells, unit_ref)), unit_ref))
     labelled = _labelled(rows)
     model = UnitModel(_sample(labelled.where("variable_id % 5 <> 0"), training_rows), _known_units(unit_ref))
 
